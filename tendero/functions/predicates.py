@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -69,7 +70,7 @@ def positive(*cols: str) -> Column:
 
 def is_system(name: Column, patterns: Sequence[str] = SALE_EXCLUSIONS) -> Column:
     """The name holds one of the patterns, case as written (FLT-11)."""
-    return any_of([name.contains(p.strip("%")) for p in patterns])
+    return name.rlike("|".join(re.escape(p.strip("%")) for p in patterns))
 
 
 def real_article(name: Column, patterns: Sequence[str] = SALE_EXCLUSIONS,
@@ -110,11 +111,8 @@ def edge_case(df: DataFrame, patterns: Sequence[str] | None = None,
               (patterns if patterns is not None else SYSTEM_ARTICLES + SYSTEM_ARTICLES_EXTRA)]
     named = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)
              and any(k.upper() in f.name.upper() for k in name_columns)]
-    tests = []
-    for c in named:
-        value = F.upper(F.coalesce(F.col(c), F.lit("")))
-        tests += [value.contains(p) for p in wanted]
-    return any_of(tests)
+    pattern = "|".join(re.escape(p) for p in wanted)
+    return any_of([F.upper(F.coalesce(F.col(n), F.lit(""))).rlike(pattern) for n in named])
 
 
 def drop_edge_cases(df: DataFrame, patterns: Sequence[str] | None = None,

@@ -7,6 +7,7 @@ column pairs). Rules are expressions over that row: no join, no shuffle.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -76,18 +77,18 @@ def fk_edges(catalog: DataFrame) -> DataFrame:
 # --- rules -----------------------------------------------------------------------
 
 def has_word(text: Column, words: Sequence[str]) -> Column:
-    return any_of([text.contains(w) for w in words])
+    """The text holds one of the words as a substring: one alternation, one pass."""
+    return text.rlike("|".join(re.escape(w) for w in words))
 
 
 def column_has(words: Sequence[str]) -> Column:
-    """Some column name holds one of the words."""
-    return F.exists("columns", lambda col: has_word(F.lower(col["name"]), words))
+    """Some column name holds one of the words (which have no spaces)."""
+    return has_word(F.lower(F.array_join(c("columns.name"), " ")), words)
 
 
 def columns_with(words: Sequence[str]) -> Column:
     """Names of the columns that hold one of the words, by position."""
-    return F.transform(F.filter("columns", lambda col: has_word(F.lower(col["name"]), words)),
-                       lambda col: col["name"])
+    return F.filter(c("columns.name"), lambda n: has_word(F.lower(n), words))
 
 
 def active(name: str = "table_name") -> Column:

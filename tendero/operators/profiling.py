@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tendero.functions.columns import date_like
+from tendero.operators.ranking import edges_below
+from tendero.session import stored
 
 c = F.col
 
@@ -39,10 +41,9 @@ def frequencies(df: DataFrame, columns: Sequence[str], as_type: str) -> DataFram
     Counts are combined on the map side, so a value that fills a third of the rows
     costs one row per task. NULLs are left out.
     """
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(n).alias("column"), c(n).cast(as_type).alias("value")) for n in columns]))
+    cells = df.select(*[c(n).cast(as_type).alias(n) for n in columns])
     return (
-        df.select(cells.alias("cell")).select("cell.*").where(c("value").isNotNull())
+        cells.unpivot([], list(columns), "column", "value").where(c("value").isNotNull())
         .groupBy("column", "value").agg(F.count("*").alias("n"))
     )
 
@@ -57,11 +58,16 @@ def exact_quantiles(freq: DataFrame, points: Mapping[str, float], cuts: int = 12
     whose rank intervals hold floor(h) and ceil(h).
     """
     steps = [i / cuts for i in range(1, cuts)]
-    edges = freq.groupBy("column").agg(
-        F.percentile_approx("value", steps).alias("edges"), F.sum("n").alias("total"))
+    block = 12
+    edges = (
+        freq.groupBy("column").agg(F.percentile_approx("value", steps).alias("edges"),
+                                   F.sum("n").alias("total"))
+        .withColumn("lasts", F.filter("edges", lambda e, i: i % block == block - 1))
+    )
     placed = (
         freq.join(F.broadcast(edges), "column")
-        .withColumn("range", F.size(F.filter("edges", lambda e: e < c("value")))).drop("edges")
+        .withColumn("range", edges_below(c("edges"), c("lasts"), block, c("value")))
+        .drop("edges", "lasts")
     )
     before = (Window.partitionBy("column").orderBy("range")
               .rowsBetween(Window.unboundedPreceding, -1))
@@ -113,7 +119,7 @@ def profile(df: DataFrame) -> DataFrame:
     out = out.withColumn("rows", df.agg(F.count("*")).scalar())
     parts = []
     if numeric:
-        freq = frequencies(df, numeric, "double")
+        freq = stored(frequencies(df, numeric, "double"), "frequencies")
         stats = freq.groupBy("column").agg(
             F.sum("n").alias("non_null"), F.count("*").alias("unique"),
             F.min("value").alias("min"), F.max("value").alias("max"))
@@ -172,7 +178,7 @@ def summary(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame) -> DataFrame:
     """Count, mean, deviation, minimum, quartiles and maximum of numeric columns (PRF-7)."""
     numeric = numeric_columns(df)
-    freq = frequencies(df, numeric, "double")
+    freq = stored(frequencies(df, numeric, "double"), "frequencies")
     ends = freq.groupBy("column").agg(
         F.sum("n").alias("count"), F.min("value").alias("min"), F.max("value").alias("max"))
     quartiles = exact_quantiles(freq, {"p25": 0.25, "p50": 0.5, "p75": 0.75})

@@ -32,12 +32,14 @@ def expand_synonyms(df: DataFrame, text: str, out: str = "expanded") -> DataFram
     """Query text with the first three synonyms of each whole-word term in it (RET-1).
 
     Terms apply in dictionary order and repeats stay. The dictionary is fixed, so it
-    becomes one expression per row: no join, nothing to regroup.
+    becomes one expression per row: no join, nothing to regroup. A plain substring
+    test goes before each pattern, so long texts are seldom matched by pattern.
     """
-    lower = F.lower(c(text))
-    added = [F.when(lower.rlike(rf"(?U)\b{term}\b"), F.lit(" ".join(words)))
+    lower = c("_lower")
+    added = [F.when(lower.contains(term) & lower.rlike(rf"(?U)\b{term}\b"), F.lit(" ".join(words)))
              for term, words in D.SYNONYMS.items()]
-    return df.withColumn(out, F.concat_ws(" ", c(text), *added))
+    return (df.withColumn("_lower", F.lower(text))
+            .withColumn(out, F.concat_ws(" ", c(text), *added)).drop("_lower"))
 
 
 def tokens(text: Column | str) -> Column:
@@ -205,9 +207,13 @@ def importance(rows: Column, fks: Column, columns: Column, related: Column) -> C
     return volume + linked + width + F.when(related, F.lit(0.0)).otherwise(F.lit(0.1))
 
 
-def keyword_score(query: Column, name: Column, column_names: Column, description: Column) -> Column:
-    """Matches of the query's words (over 3 letters) in name, columns and description."""
-    words = F.filter(F.split(F.lower(query), r"\s+"), lambda w: F.length(w) > 3)
+def query_words(query: Column) -> Column:
+    """Words over 3 letters, repeats included."""
+    return F.filter(F.split(F.lower(query), r"\s+"), lambda w: F.length(w) > 3)
+
+
+def keyword_score(words: Column, name: Column, column_names: Column, description: Column) -> Column:
+    """Matches of the query's words in name, columns and description."""
     in_name = F.size(F.filter(words, lambda w: F.contains(F.lower(name), w)))
     in_columns = F.size(F.filter(column_names, lambda n: F.exists(
         words, lambda w: F.contains(F.lower(n), w))))
@@ -239,7 +245,7 @@ def graph_importance(related: Column, table: Column) -> Column:
     base = F.lower(F.regexp_replace(table, "S+$", ""))
     score = F.when(F.contains(lower, base), F.lit(D.NEIGHBOUR_BASE)).otherwise(F.lit(0))
     for weight, words in D.NEIGHBOUR_WORDS:
-        score = score + F.when(any_of([lower.contains(w) for w in words]), F.lit(weight)).otherwise(F.lit(0))
+        score = score + F.when(lower.rlike("|".join(words)), F.lit(weight)).otherwise(F.lit(0))
     return score
 
 
@@ -332,9 +338,10 @@ def retrieve_tables(questions: DataFrame, described: DataFrame, edges: DataFrame
         "table_name", "row_count", F.size("foreign_keys").alias("fks"), F.size("columns").alias("width"),
         F.transform("columns", lambda col: col["name"]).alias("column_names"), "description")
     text = F.coalesce("via", "description")
-    scored = wide.join(facts, "table_name").join(questions.select("query_id", "question"), "query_id").withColumn(
+    asked_words = questions.select("query_id", query_words(c("question")).alias("words"))
+    scored = wide.join(facts, "table_name").join(asked_words, "query_id").withColumn(
         "score", rescore(c("score"), importance(c("row_count"), c("fks"), c("width"), c("related")),
-                         keyword_score(c("question"), c("table_name"), c("column_names"), text)))
+                         keyword_score(c("words"), c("table_name"), c("column_names"), text)))
     w = Window.partitionBy("query_id").orderBy(c("score").desc(), "table_name")
     return (scored.withColumn("place", F.row_number().over(w)).where(c("place") <= most)
             .select("query_id", "table_name", F.round("score", 6).alias("score"), "related", "place"))

@@ -15,7 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tendero.functions.columns import margin, percent, ratio, real
+from tendero.functions.columns import (
+    exact, halves, margin, percent, ratio, real, rolled, rolled_halves, total,
+)
 from tendero.functions.predicates import (
     SALE_EXCLUSIONS, in_period, is_sale, positive, real_article, trailing,
 )
@@ -45,11 +47,10 @@ def sale_lines(t: Tables, lo: Bound = None, hi: Bound = None, any_type: bool = F
 
 def doc_sales(t: Tables, lo: Bound = None, hi: Bound = None, any_type: bool = False,
               checked: Sequence[str] = ("units", "net")) -> DataFrame:
-    """One row per sale document with its line sums."""
+    """One row per sale document with its line sums, left as halves."""
     lines = t.lines.where(positive(*checked)) if checked else t.lines
     per_doc = lines.groupBy("doc_id").agg(
-        F.count("*").alias("lines"), F.sum("units").alias("units"), F.sum("net").alias("net"),
-        F.sum("gross").alias("gross"), F.sum("discount").alias("discount"))
+        F.count("*").alias("lines"), *halves("units", "net", "gross", "discount"))
     return sale_docs(t, lo, hi, any_type).join(per_doc, "doc_id")
 
 
@@ -82,6 +83,7 @@ def with_few(facts: DataFrame, dim: DataFrame, key: str, how: str = "inner") ->
 
 
 def unit_price(gross: Column | str = "gross", units: Column | str = "units") -> Column:
+    """Price of a unit; both measures have two places, so they cancel."""
     return F.try_divide(real(gross), real(units))
 
 
@@ -94,8 +96,8 @@ def article_sales_month(t: Tables, article: str, lo: str, hi: str) -> DataFrame:
     return (
         lines.join(sale_docs(t, lo, hi).select("doc_id"), "doc_id", "left_semi")
         .groupBy("article_id", "article")
-        .agg(F.countDistinct("doc_id").alias("documents"), F.sum("units").alias("units"),
-             F.sum("net").alias("amount"))
+        .agg(F.countDistinct("doc_id").alias("documents"), total("units").alias("units"),
+             total("net").alias("amount"))
     )
 
 
@@ -106,8 +108,8 @@ def latest_lines(t: Tables, lines: DataFrame, k: int) -> DataFrame:
     """The newest k lines of real articles, then the warehouse name (ORD-1, ORD-2)."""
     newest = (
         lines.orderBy(c("day").desc(), c("doc_id").desc(), *_LINE_ORDER).limit(k)
-        .select("doc_id", "day", "line_no", "warehouse_id", "article_id", "article", "units",
-                c("net").alias("amount"))
+        .select("doc_id", "day", "line_no", "warehouse_id", "article_id", "article",
+                exact("units").alias("units"), exact("net").alias("amount"))
     )
     return with_few(newest, t.warehouses.select("warehouse_id", "warehouse"), "warehouse_id",
                     "left")
@@ -140,7 +142,7 @@ def best_selling_article(t: Tables, lo: str, hi: str,
     sold = (
         sale_lines(t, lo, hi, any_type=True, checked=("units",)).join(real_ones, "article_id")
         .groupBy("article_id", "article")
-        .agg(F.sum("units").alias("units"), F.sum("gross").alias("amount"))
+        .agg(total("units").alias("units"), total("gross").alias("amount"))
     )
     return top(sold, k, "units", "article_id")
 
@@ -150,7 +152,7 @@ def month_totals(t: Tables, lo: str, hi: str) -> DataFrame:
     return (
         doc_sales(t, lo, hi, checked=())
         .agg(F.sum("lines").alias("lines"), F.count("*").alias("documents"),
-             F.sum("gross").alias("total"))
+             rolled("gross").alias("total"))
         .withColumn("mean_line", ratio("total", "lines"))
         .withColumn("mean_ticket", ratio("total", "documents"))
     )
@@ -160,8 +162,8 @@ def sales_by_customer(t: Tables, lo: Bound = None, hi: Bound = None) -> DataFram
     """BQ-6: documents, units and amount of each customer, largest first."""
     sold = (
         doc_sales(t, lo, hi, checked=()).groupBy("customer_id")
-        .agg(F.count("*").alias("documents"), F.sum("units").alias("units"),
-             F.sum("gross").alias("amount"))
+        .agg(F.count("*").alias("documents"), rolled("units").alias("units"),
+             rolled("gross").alias("amount"))
     )
     return (
         sold.join(t.customers.select("customer_id", "customer"), "customer_id")
@@ -177,10 +179,11 @@ def low_stock(t: Tables) -> DataFrame:
     codes keeps its stock. The supplier is the lowest one the article came from.
     """
     held = t.lines.groupBy("article_id").agg(
-        F.sum(F.when(c("is_return"), c("units"))).alias("stock"),
+        total("units", only=c("is_return")).alias("stock"), F.count_if("is_return").alias("held"),
         F.min("warehouse_id").alias("warehouse_id"))
     return (
         t.articles.where("active").join(held, "article_id", "left")
+        .withColumn("stock", F.when(c("held") > 0, c("stock")))
         .where(F.coalesce(c("stock"), F.lit(0)) < c("minimum"))
         .join(t.warehouses.select("warehouse_id", c("warehouse").alias("supplier")),
               "warehouse_id", "left")
@@ -192,16 +195,16 @@ def low_stock(t: Tables) -> DataFrame:
 def _priced(t: Tables) -> DataFrame:
     """Mean selling price of each article (the stand-in for a price list)."""
     return (
-        t.lines.groupBy("article_id").agg(F.sum("gross").alias("gross"), F.sum("units").alias("units"))
-        .select("article_id", unit_price().alias("price"))
+        t.lines.groupBy("article_id").agg(total("gross").alias("gross"), total("units").alias("units"))
+        .select("article_id", ratio("gross", "units").alias("price"))
     )
 
 
 def article_margins(t: Tables) -> DataFrame:
     """Price, cost, profit and margin of every active article with a cost (JN-5, PRJ-2)."""
     return (
-        t.articles.where(c("active") & (c("cost") > 0)).join(_priced(t), "article_id")
-        .select("article_id", "article", "line", "price", "cost",
+        t.articles.where(c("active") & (c("cost") > 0)).withColumn("cost", exact("cost"))
+        .join(_priced(t), "article_id").select("article_id", "article", "line", "price", "cost",
                 (c("price") - real("cost")).alias("profit"),
                 margin("price", "cost").alias("margin_pct"))
     )
@@ -216,7 +219,7 @@ def monthly(t: Tables, lo: Bound = None, hi: Bound = None, any_type: bool = True
     return (
         doc_sales(t, lo, hi, any_type, checked=())
         .groupBy(F.year("day").alias("year"), F.month("day").alias("month"))
-        .agg(F.sum("gross").alias("total"))
+        .agg(rolled("gross").alias("total"))
     )
 
 
@@ -243,7 +246,7 @@ def customer_trend(t: Tables, lo: Bound = None) -> DataFrame:
     months = (
         doc_sales(t, lo, any_type=True, checked=())
         .groupBy("customer_id", F.year("day").alias("year"), F.month("day").alias("month"))
-        .agg(F.sum("gross").alias("total"), F.count("*").alias("documents"),
+        .agg(rolled("gross").alias("total"), F.count("*").alias("documents"),
              F.sum("lines").alias("lines"))
     )
     trend = (
@@ -269,7 +272,7 @@ def sales_today(t: Tables, day: Bound = None) -> DataFrame:
     lo = F.lit(day).cast("date") if isinstance(day, str) else day
     return (
         t.headers.where(in_period(c("placed_at"), lo, F.date_add(lo, 1)))
-        .agg(F.count("*").alias("documents"), F.sum("doc_total").alias("total"))
+        .agg(F.count("*").alias("documents"), total("doc_total").alias("total"))
     )
 
 
@@ -283,7 +286,7 @@ def stock_of(t: Tables, article_id: int, warehouse_id: int | None = None) -> Dat
     lines = t.lines.where(c("is_return") & (c("article_id") == article_id))
     if warehouse_id is not None:
         lines = lines.where(c("warehouse_id") == warehouse_id)
-    return lines.groupBy("article_id", "warehouse_id").agg(F.sum("units").alias("stock"))
+    return lines.groupBy("article_id", "warehouse_id").agg(total("units").alias("stock"))
 
 
 def stock_of_article(t: Tables, article_id: int) -> DataFrame:
@@ -295,19 +298,18 @@ def sales_between(t: Tables, lo: Bound, hi: Bound) -> DataFrame:
     """TVF-2: sales of a period by day."""
     return (
         doc_sales(t, lo, hi).groupBy("day")
-        .agg(F.count("*").alias("documents"), F.sum("units").alias("units"),
-             F.sum("net").alias("amount"))
+        .agg(F.count("*").alias("documents"), rolled("units").alias("units"),
+             rolled("net").alias("amount"))
     )
 
 
 def avg_cost(t: Tables, article_id: int | None = None) -> DataFrame:
     """TVF-3: average cost of an article, weighted by the units bought."""
     bought = t.lines if article_id is None else t.lines.where(c("article_id") == article_id)
-    bought = bought.groupBy("article_id").agg(F.sum("units").alias("units"))
+    bought = bought.groupBy("article_id").agg(total("units").alias("units"))
     return (
         bought.join(t.articles.select("article_id", "cost"), "article_id")
-        .withColumn("spent", c("units") * c("cost"))
-        .groupBy("article_id").agg(F.sum("spent").alias("spent"), F.sum("units").alias("units"))
+        .withColumn("spent", c("units") * exact("cost"))
         .select("article_id", "units", "spent", ratio("spent", "units").alias("average_cost"))
     )
 
@@ -318,8 +320,8 @@ def sales_detail(t: Tables, lo: Bound, hi: Bound = None) -> DataFrame:
     return (
         lines.join(t.articles.select("article_id", "code", "article"), "article_id", "left")
         .join(t.warehouses.select("warehouse_id", "warehouse"), "warehouse_id", "left")
-        .select("doc_id", "day", "line_no", "warehouse", "article_id", "code", "article", "units",
-                "net")
+        .select("doc_id", "day", "line_no", "warehouse", "article_id", "code", "article",
+                exact("units").alias("units"), exact("net").alias("net"))
         .orderBy(c("day").desc(), c("doc_id").desc(), "line_no", "article_id")
     )
 
@@ -328,7 +330,7 @@ def latest_invoices(t: Tables, k: int = 5) -> DataFrame:
     """BQ-15: the last documents with their customer."""
     newest = (
         t.headers.orderBy(c("day").desc(), c("doc_id").desc()).limit(k)
-        .select("doc_id", "day", "doc_type", "customer_id", "doc_total")
+        .select("doc_id", "day", "doc_type", "customer_id", exact("doc_total").alias("doc_total"))
     )
     return with_few(newest, t.customers.select("customer_id", "customer"), "customer_id", "left")
 
@@ -341,8 +343,8 @@ def invoice_lines(t: Tables, doc_id: int | None = None, k: int = 10) -> DataFram
         target = F.lit(doc_id)
     lines = t.lines.where(c("doc_id") == target).orderBy(*_LINE_ORDER).limit(k)
     return with_few(lines, t.articles.select("article_id", "article"), "article_id", "left").select(
-        "doc_id", "line_no", "article_id", "article", "units",
-        unit_price().alias("unit_price"), "net")
+        "doc_id", "line_no", "article_id", "article", exact("units").alias("units"),
+        unit_price().alias("unit_price"), exact("net").alias("net"))
 
 
 def sale_filter_funnel(t: Tables, exclusions: Sequence[str] = SALE_EXCLUSIONS,
@@ -362,7 +364,7 @@ def sale_filter_funnel(t: Tables, exclusions: Sequence[str] = SALE_EXCLUSIONS,
 def top_customers(t: Tables, lo: Bound, hi: Bound, k: int = 10) -> DataFrame:
     """BQ-18: best customers of a period by amount."""
     sold = doc_sales(t, lo, hi).groupBy("customer_id").agg(
-        F.sum("net").alias("amount"), F.count("*").alias("documents"))
+        rolled("net").alias("amount"), F.count("*").alias("documents"))
     return with_few(top(sold, k, "amount", "customer_id"),
                     t.customers.select("customer_id", "customer"), "customer_id")
 
@@ -380,8 +382,7 @@ def sales_yoy_month(t: Tables, year: int) -> DataFrame:
 
 def _compared(grouped, this: Column, measure: str) -> DataFrame:
     sides = grouped.agg(
-        F.sum(F.when(this, c(measure)).otherwise(0)).alias("this_period"),
-        F.sum(F.when(~this, c(measure)).otherwise(0)).alias("before"))
+        rolled(measure, this).alias("this_period"), rolled(measure, ~this).alias("before"))
     return (
         sides.withColumn("difference", c("this_period") - c("before"))
         .withColumn("change_pct", percent("difference", "before"))
@@ -391,7 +392,7 @@ def _compared(grouped, this: Column, measure: str) -> DataFrame:
 def customer_ticket(t: Tables, lo: Bound, hi: Bound) -> DataFrame:
     """BQ-20: amount, documents and mean ticket of each customer."""
     sold = doc_sales(t, lo, hi).groupBy("customer_id").agg(
-        F.sum("net").alias("amount"), F.count("*").alias("documents"))
+        rolled("net").alias("amount"), F.count("*").alias("documents"))
     return (
         sold.withColumn("mean_ticket", ratio("amount", "documents"))
         .join(t.customers.select("customer_id", "customer"), "customer_id")
@@ -400,7 +401,7 @@ def customer_ticket(t: Tables, lo: Bound, hi: Bound) -> DataFrame:
 
 def top5_per_line(t: Tables, lo: Bound, hi: Bound, k: int = 5) -> DataFrame:
     """BQ-21: best articles of each line by units."""
-    sold = sale_lines(t, lo, hi).groupBy("article_id").agg(F.sum("units").alias("units"))
+    sold = sale_lines(t, lo, hi).groupBy("article_id").agg(total("units").alias("units"))
     named = sold.join(t.articles.select("article_id", "article", "line"), "article_id")
     return top_per_group(named, "line", k, "units", "article_id")
 
@@ -408,8 +409,8 @@ def top5_per_line(t: Tables, lo: Bound, hi: Bound, k: int = 5) -> DataFrame:
 def return_rate(t: Tables) -> DataFrame:
     """BQ-22: returned units of each article and their share of all units."""
     moved = t.lines.groupBy("article_id").agg(
-        F.sum("units").alias("units"),
-        F.sum(F.when(c("is_return"), c("units")).otherwise(0)).alias("returned"))
+        total("units").alias("units"),
+        total("units", only=c("is_return")).alias("returned"))
     return (
         moved.where(c("returned") > 0)
         .withColumn("return_pct", percent("returned", "units"))
@@ -423,7 +424,7 @@ def return_rate(t: Tables) -> DataFrame:
 def rotation(t: Tables, months: int = 3) -> DataFrame:
     """BQ-23: units sold in the last months over the stock of today."""
     since = F.add_months(t.as_of(), -months)
-    sold = sale_lines(t, since).groupBy("article_id").agg(F.sum("units").alias("sold"))
+    sold = sale_lines(t, since).groupBy("article_id").agg(total("units").alias("sold"))
     return (
         sold.join(t.stock_by_article, "article_id", "left")
         .withColumn("rotation", ratio("sold", "stock"))
@@ -434,7 +435,7 @@ def rotation(t: Tables, months: int = 3) -> DataFrame:
 
 def _valued_stock(t: Tables) -> DataFrame:
     held = t.stock.join(t.articles.select("article_id", "cost"), "article_id")
-    return held.withColumn("value", c("stock") * c("cost"))
+    return held.withColumn("value", c("stock") * exact("cost"))
 
 
 def stock_value(t: Tables) -> DataFrame:
@@ -469,11 +470,10 @@ def stock_by_wh_supplier(t: Tables) -> DataFrame:
 
 def stock_evolution(t: Tables) -> DataFrame:
     """BQ-49: units in, out and held at the end of each month."""
-    units_in = F.when(c("flag") == "R", c("units")).otherwise(0)
-    units_out = F.when(c("flag") == "A", c("units")).otherwise(0)
     months = (
         t.lines.groupBy(month_of(c("moved_day")).alias("month"))
-        .agg(F.sum(units_in).alias("units_in"), F.sum(units_out).alias("units_out"))
+        .agg(total("units", only=c("flag") == "R").alias("units_in"),
+             total("units", only=c("flag") == "A").alias("units_out"))
     )
     held = F.sum(c("units_in") - c("units_out")).over(
         Window.orderBy("month").rowsBetween(Window.unboundedPreceding, 0))
@@ -500,7 +500,7 @@ def receivables(t: Tables) -> DataFrame:
     """BQ-28: open balance by customer, largest first."""
     open_docs = t.headers.where(c("doc_type").isin("O", "P"))
     owed = open_docs.groupBy("customer_id").agg(
-        F.count("*").alias("open_documents"), F.sum("doc_total").alias("balance"))
+        F.count("*").alias("open_documents"), total("doc_total").alias("balance"))
     return (
         owed.join(t.customers.select("customer_id", "customer"), "customer_id")
         .orderBy(c("balance").desc(), "customer_id")
@@ -515,12 +515,12 @@ def _purchases(t: Tables, lo: Bound, hi: Bound) -> DataFrame:
 def sales_vs_purchases(t: Tables, lo: str, hi: str) -> DataFrame:
     """BQ-29: sold and bought amount of each month (JN-10)."""
     sold = (doc_sales(t, lo, hi).groupBy(month_of(c("day")).alias("month"))
-            .agg(F.sum("net").alias("sold")))
+            .agg(rolled("net").alias("sold")))
     bought = (
         _purchases(t, lo, hi).groupBy("article_id", month_of(c("moved_day")).alias("month"))
-        .agg(F.sum("units").alias("units"))
+        .agg(total("units").alias("units"))
         .join(t.articles.select("article_id", "cost"), "article_id")
-        .groupBy("month").agg(F.sum(c("units") * c("cost")).alias("bought"))
+        .groupBy("month").agg(F.sum(c("units") * exact("cost")).alias("bought"))
     )
     zero = F.lit(0)
     return (
@@ -534,7 +534,7 @@ def sales_vs_purchases(t: Tables, lo: str, hi: str) -> DataFrame:
 def discount_by_customer(t: Tables, lo: Bound, hi: Bound) -> DataFrame:
     """BQ-30: discount given to each customer."""
     given = (doc_sales(t, lo, hi).groupBy("customer_id")
-             .agg(F.sum("discount").alias("discount"), F.sum("gross").alias("gross")))
+             .agg(rolled("discount").alias("discount"), rolled("gross").alias("gross")))
     return (
         given.withColumn("discount_pct", percent("discount", "gross"))
         .join(t.customers.select("customer_id", "customer"), "customer_id")
@@ -546,7 +546,7 @@ def discount_by_customer(t: Tables, lo: Bound, hi: Bound) -> DataFrame:
 def zone_stats(t: Tables, lo: Bound = None, hi: Bound = None) -> DataFrame:
     """BQ-31: amount, mean ticket and documents per customer of each zone."""
     per_customer = doc_sales(t, lo, hi).groupBy("customer_id").agg(
-        F.sum("net").alias("amount"), F.count("*").alias("documents"))
+        rolled("net").alias("amount"), F.count("*").alias("documents"))
     return (
         per_customer.join(t.customers.select("customer_id", "nation_id"), "customer_id")
         .join(t.zones, "nation_id").groupBy("zone")
@@ -587,7 +587,7 @@ def top_product_of_top_customers(t: Tables, lo: Bound, hi: Bound, k: int = 10) -
     bought = (
         docs.join(t.lines.where(positive("units", "net")), "doc_id")
         .groupBy("customer_id", "customer", "amount", "article_id")
-        .agg(F.sum("units").alias("units"))
+        .agg(total("units").alias("units"))
     )
     favourite = top_per_group(bought, "customer_id", 1, "units", "article_id").drop("place")
     return with_few(favourite, t.articles.select("article_id", "article"), "article_id")
@@ -609,7 +609,7 @@ def zone_big_buyers(t: Tables, zone: str, amount: float, lo: Bound, hi: Bound) -
     )
     lines = sale_lines(t, lo, hi).join(in_zone, "customer_id")
     by_article = lines.groupBy("customer_id", "customer", "article_id").agg(
-        F.sum("net").alias("amount"), F.sum("units").alias("units"))
+        total("net").alias("amount"), total("units").alias("units"))
     best = F.max(F.struct("units", (-c("article_id")).alias("rest"), "article_id"))
     buyers = (
         by_article.groupBy("customer_id", "customer")
@@ -632,7 +632,7 @@ def overdue_customers(t: Tables, days: int = 30) -> DataFrame:
     late = t.headers.where((c("doc_type") == "O")
                            & (c("placed_at") < F.date_sub(as_of, days).cast("timestamp_ntz")))
     owed = late.groupBy("customer_id").agg(
-        F.count("*").alias("documents"), F.sum("doc_total").alias("balance"),
+        F.count("*").alias("documents"), total("doc_total").alias("balance"),
         F.min("day").alias("oldest"))
     return (
         owed.withColumn("max_days", F.datediff(t.as_of(), c("oldest"))).drop("oldest")
@@ -647,7 +647,7 @@ def sales_drop_anomaly(t: Tables, sigmas: float = 2.0) -> DataFrame:
     """
     months = (
         doc_sales(t).groupBy("customer_id", month_of(c("day")).alias("month"))
-        .agg(F.sum("net").alias("total"))
+        .agg(rolled("net").alias("total"))
     )
     w = Window.partitionBy("customer_id").orderBy("month")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -686,9 +686,9 @@ def purchases_by_supplier(t: Tables, lo: Bound, hi: Bound) -> DataFrame:
     """
     bought = _purchases(t, lo, hi)
     amount = (
-        bought.groupBy("warehouse_id", "article_id").agg(F.sum("units").alias("units"))
+        bought.groupBy("warehouse_id", "article_id").agg(total("units").alias("units"))
         .join(t.articles.select("article_id", "cost"), "article_id")
-        .groupBy("warehouse_id").agg(F.sum(c("units") * c("cost")).alias("amount"))
+        .groupBy("warehouse_id").agg(F.sum(c("units") * exact("cost")).alias("amount"))
     )
     orders = bought.groupBy("warehouse_id").agg(F.countDistinct("doc_id").alias("orders"))
     return (
@@ -732,7 +732,7 @@ def top_suppliers(t: Tables, months: int = 6, k: int = 5) -> DataFrame:
 def warehouse_ranking(t: Tables, k: int = 10) -> DataFrame:
     """BQ-51: warehouses with the most sales."""
     sold = sale_lines(t).groupBy("warehouse_id").agg(
-        F.count("*").alias("lines"), F.sum("net").alias("amount"))
+        F.count("*").alias("lines"), total("net").alias("amount"))
     return with_few(top(sold, k, "amount", "warehouse_id"),
                     t.warehouses.select("warehouse_id", "warehouse"), "warehouse_id")
 
@@ -743,7 +743,7 @@ def seller_performance(t: Tables, lo: Bound = None, hi: Bound = None) -> DataFra
     """BQ-42: amount, units, documents and mean ticket by seller."""
     return (
         doc_sales(t, lo, hi).groupBy("seller")
-        .agg(F.sum("net").alias("amount"), F.sum("units").alias("units"),
+        .agg(rolled("net").alias("amount"), rolled("units").alias("units"),
              F.count("*").alias("documents"))
         .withColumn("mean_ticket", ratio("amount", "documents"))
     )
@@ -752,14 +752,14 @@ def seller_performance(t: Tables, lo: Bound = None, hi: Bound = None) -> DataFra
 def _sales_by_article(t: Tables, lo: Bound, hi: Bound, *extra) -> DataFrame:
     """Sales summed to the article, then its line: the dimension meets sums only."""
     sold = sale_lines(t, lo, hi).groupBy("article_id", *extra).agg(
-        F.count("*").alias("lines"), F.sum("units").alias("units"), F.sum("net").alias("net"))
+        F.count("*").alias("lines"), *halves("units", "net"))
     return sold.join(t.articles.select("article_id", "line"), "article_id")
 
 
 def seasonality(t: Tables, k: int = 3) -> DataFrame:
     """BQ-43: best calendar months of each line by units."""
     sold = (_sales_by_article(t, None, None, F.month("day").alias("month"))
-            .groupBy("line", "month").agg(F.sum("units").alias("units")))
+            .groupBy("line", "month").agg(rolled("units").alias("units")))
     return top_per_group(sold, "line", k, "units", "month")
 
 
@@ -767,11 +767,12 @@ def negative_margin(t: Tables) -> DataFrame:
     """BQ-44: articles with lines sold under cost, and by how much."""
     sold = t.lines.where(positive("units")).join(
         t.articles.select("article_id", "article", "cost"), "article_id")
-    loss = (c("units") * c("cost")) - c("gross")
+    loss = c("units") * c("cost") - c("gross") * 100
     return (
-        sold.where(c("gross") < c("units") * c("cost")).groupBy("article_id", "article", "cost")
-        .agg(F.count("*").alias("lines"), F.sum(loss).alias("loss"),
+        sold.where(loss > 0).groupBy("article_id", "article", "cost")
+        .agg(F.count("*").alias("lines"), total(loss, 4).alias("loss"),
              F.min(unit_price()).alias("lowest_price"))
+        .withColumn("cost", exact("cost"))
     )
 
 
@@ -801,7 +802,7 @@ def line_yoy(t: Tables, month: str) -> DataFrame:
     docs = sale_docs(t).where(in_month)
     sold = (
         docs.join(t.lines.where(positive("units", "net")), "doc_id")
-        .groupBy("article_id", (c("day") >= lo).alias("this")).agg(F.sum("net").alias("net"))
+        .groupBy("article_id", (c("day") >= lo).alias("this")).agg(*halves("net"))
         .join(t.articles.select("article_id", "line"), "article_id")
     )
     return _compared(sold.groupBy("line"), c("this"), "net")
@@ -815,11 +816,11 @@ def executive_cube(t: Tables) -> DataFrame:
     """
     sold = _sales_by_article(t, None, None, "customer_id").drop("article_id")
     sold = sold.groupBy("customer_id", "line").agg(
-        F.sum("lines").alias("lines"), F.sum("units").alias("units"), F.sum("net").alias("net"))
+        F.sum("lines").alias("lines"), *rolled_halves("units", "net"))
     base = (
         sold.join(t.customers.select("customer_id", "segment", "nation_id"), "customer_id")
         .join(t.zones, "nation_id").groupBy("segment", "line", "zone")
-        .agg(F.sum("lines").alias("n"), F.sum("units").alias("u"), F.sum("net").alias("m"))
+        .agg(F.sum("lines").alias("n"), rolled("units").alias("u"), rolled("net").alias("m"))
     )
     return base.cube("segment", "line", "zone").agg(
         F.sum("n").alias("lines"), F.sum("u").alias("units"), F.sum("m").alias("amount"))
@@ -829,5 +830,5 @@ def sales_by_category(t: Tables, lo: Bound = None, hi: Bound = None) -> DataFram
     """BQ-56: units and amount by article line."""
     return (
         _sales_by_article(t, lo, hi).groupBy("line")
-        .agg(F.sum("units").alias("units"), F.sum("net").alias("amount"))
+        .agg(rolled("units").alias("units"), rolled("net").alias("amount"))
     )

@@ -19,7 +19,7 @@ from tendero.operators import reports
 from tendero.operators import retrieval as ret
 from tendero.operators.ranking import latest_per_key
 from tendero.operators.sales import sales_by_customer
-from tendero.session import checkpoint_dir
+from tendero.session import checkpoint_dir, stored
 from tendero.sources.tables import FOREIGN_KEYS, PRIMARY_KEYS, Tables
 from tendero.streaming import state
 
@@ -90,8 +90,9 @@ def _questions(t: Tables) -> DataFrame:
 
 def _retrieved(t: Tables) -> DataFrame:
     # texts name no table of the model here, so the floor on similarity is off
-    return ret.retrieve_tables(_questions(t).select("query_id", "question"), _described(t), _edges(t),
-                               threshold=0.0)
+    described = stored(_described(t), "descriptions")
+    edges = stored(_edges(t), "edges")
+    return ret.retrieve_tables(_questions(t).select("query_id", "question"), described, edges, threshold=0.0)
 
 
 def _corpus_search(t: Tables) -> DataFrame:
@@ -208,7 +209,7 @@ JOB_QUERIES: dict[str, Query] = {
     "vector_topk": _topk,
     "vector_rescore": _rescored,
     "fk_neighbours": lambda t: ret.neighbours(_edges(t)).select("table_name", "related", "direction"),
-    "expand_related": lambda t: ret.expand_related(_hits(t), _edges(t)).select(
+    "expand_related": lambda t: ret.expand_related(_hits(t), stored(_edges(t), "edges")).select(
         "table_name", F.round("score", 6).alias("score"), "related"),
     "retrieve_tables": _retrieved,
     "synonym_expand": lambda t: ret.expand_synonyms(t.documents.select("doc_id", "text"), "text").select(

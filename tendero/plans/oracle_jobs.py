@@ -54,9 +54,9 @@ _EDGES = ", ".join(f"('{a}', '{b}')" for a, _, b, _ in FOREIGN_KEYS)
 
 _TOPK = """
 WITH cells AS (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS v,
-                      generate_subscripts(embedding, 1) AS at FROM embeddings),
-m AS (SELECT label, at, avg(v) AS v FROM cells GROUP BY ALL),
-q AS (SELECT CAST(label AS BIGINT) AS query_id, list(v ORDER BY at) AS qv FROM m GROUP BY label),
+                      generate_subscripts(embedding, 1) AS pos FROM embeddings),
+m AS (SELECT label, pos, avg(v) AS v FROM cells GROUP BY ALL),
+q AS (SELECT CAST(label AS BIGINT) AS query_id, list(v ORDER BY pos) AS qv FROM m GROUP BY label),
 sims AS (SELECT query_id, vec_id AS id, label,
                 round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), qv), 6) AS similarity
          FROM embeddings CROSS JOIN q),
@@ -90,7 +90,7 @@ def _matches(words) -> str:
 
 _SCORED = f"""
 WITH x AS (SELECT conv_id, turn, lower(text) AS q,
-                  len(list_filter(regexp_split_to_array(text, '\\s+'), w -> w <> '')) AS n_words
+                  len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS n_words
            FROM conversations WHERE role = 'user'),
 y AS (SELECT conv_id, turn, n_words,
   {', '.join(f'{_matches(words)} AS {name}_words' for name, (_, words) in D.COMPLEXITY_WORDS.items())},
@@ -195,12 +195,12 @@ SELECT {_TIER} AS tier, count(*) AS questions,
        round(count(*) * 100e0 / (SELECT count(*) FROM z), 1) AS percentage FROM z GROUP BY 1""",
     "stream_usage": _SCORED + f"SELECT {_TIER} AS tier, count(*) AS questions FROM z GROUP BY 1",
     "intent_flags": f"""
-SELECT conv_id, turn, len(list_filter([{_quoted(D.intent_words())}], w -> contains(lower(text), w))) > 0 AS asks_for_data
+SELECT conv_id, turn, len(list_filter([{_quoted(D.intent_words())}], lambda w: contains(lower(text), w))) > 0 AS asks_for_data
 FROM conversations WHERE role = 'user'""",
     "clean_answers": rf"""
 SELECT conv_id, turn, {_strip('a')} AS answer FROM (
   SELECT conv_id, turn, array_to_string(list_filter(string_split(
-    regexp_replace(text, '(?s)```sql\s*.*?\s*```', '', 'g'), chr(10)), x -> NOT ({_NAMED_SQL})), chr(10)) AS a
+    regexp_replace(text, '(?s)```sql\s*.*?\s*```', '', 'g'), chr(10)), lambda x: NOT ({_NAMED_SQL})), chr(10)) AS a
   FROM conversations WHERE role = 'assistant')""",
     "recent_questions": f"""
 SELECT question, turn, conv_id FROM (

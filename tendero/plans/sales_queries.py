@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tendero.functions.columns import exact, total
 from tendero.functions.predicates import edge_case, is_system, real_article
 from tendero.operators import baskets, ranking, sales, widening
 from tendero.operators.reads import page, preview
@@ -21,7 +22,7 @@ LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity
 def _by_article(t: Tables, keep, how: str) -> DataFrame:
     named = t.lines.join(t.articles.select("article_id", "article"), "article_id", how)
     return (named.where(keep(F.col("article"))).groupBy("article_id", "article")
-            .agg(F.count("*").alias("lines"), F.sum("units").alias("units")))
+            .agg(F.count("*").alias("lines"), total("units").alias("units")))
 
 
 def _edge_cases(t: Tables) -> DataFrame:
@@ -33,7 +34,7 @@ def _widened(t: Tables) -> DataFrame:
     found = widening.widen_by_key(sales.sale_docs(t), "placed_at", ["customer_id"], t.as_of())
     return found.groupBy("customer_id").agg(
         F.max("days").alias("days"), F.count("*").alias("documents"),
-        F.sum("doc_total").alias("total"))
+        total("doc_total").alias("total"))
 
 
 SALES_QUERIES: dict[str, Query] = {
@@ -100,7 +101,7 @@ SALES_QUERIES: dict[str, Query] = {
     "top5_buyers_month": sales.top_buyers_last_month,
     "preview_lines": lambda t: preview(t.lineitem.select(*LINE_KEYS), 1000, LINE_KEYS),
     "page_of_documents": lambda t: page(
-        t.headers.select("doc_id", "day", "customer_id", "doc_total"), 100, 50,
+        t.headers.select("doc_id", "day", "customer_id", exact("doc_total").alias("doc_total")), 100, 50,
         [F.col("day").desc(), F.col("doc_id").desc()]),
     "exclude_system_articles": lambda t: _by_article(t, lambda n: real_article(n, SYSTEM), "left"),
     "excluded_articles": lambda t: _by_article(t, lambda n: is_system(n, SYSTEM), "inner"),

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "tendero", cores: int | str = "*", partitions: int = 8,
@@ -38,3 +39,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     return os.path.join(tempfile.mkdtemp(prefix="tendero-"), "checkpoint")
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The rows of a frame written to the shared folder and read back.
+
+    For frames that several branches of a plan use: they are computed once, and a
+    lost executor costs a re-read, not the whole lineage.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendero.functions.columns import AMOUNT, MONEY, RATE
+from tendero.functions.columns import minor, total
 
 TABLE_NAMES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -74,11 +74,14 @@ class Tables:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root
+        self._read: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in TABLE_NAMES:
-            return read_table(self.spark, self.root, name)
-        raise AttributeError(name)
+        if name not in TABLE_NAMES:
+            raise AttributeError(name)
+        if name not in self._read:  # the schema is looked up once per table
+            self._read[name] = read_table(self.spark, self.root, name)
+        return self._read[name]
 
     @property
     def headers(self) -> DataFrame:
@@ -88,21 +91,20 @@ class Tables:
             c("o_orderkey").alias("doc_id"), c("o_custkey").alias("customer_id"),
             c("o_orderdate").alias("placed_at"), c("o_orderdate").cast("date").alias("day"),
             c("o_orderstatus").alias("doc_type"), c("o_orderpriority").alias("seller"),
-            c("o_totalprice").cast(MONEY).alias("doc_total"),
+            minor("o_totalprice").alias("doc_total"),
         )
 
     @property
     def lines(self) -> DataFrame:
-        """Document lines with exact decimal measures."""
+        """Document lines with their measures in minor units (``columns.PLACES``)."""
         c = F.col
-        gross = c("l_extendedprice").cast(MONEY)
-        rate = c("l_discount").cast(RATE)
+        gross, rate = minor("l_extendedprice"), minor("l_discount")
         return self.lineitem.select(
             c("l_orderkey").alias("doc_id"), c("l_linenumber").alias("line_no"),
             c("l_partkey").alias("article_id"), c("l_suppkey").alias("warehouse_id"),
-            c("l_quantity").cast(MONEY).alias("units"), gross.alias("gross"),
-            (gross * (F.lit(1).cast(RATE) - rate)).cast(AMOUNT).alias("net"),
-            (gross * rate).cast(AMOUNT).alias("discount"),
+            minor("l_quantity").alias("units"), gross.alias("gross"),
+            (gross * (100 - rate)).alias("net"),
+            (gross * rate).alias("discount"),
             (c("l_returnflag") == "R").alias("is_return"), c("l_returnflag").alias("flag"),
             c("l_shipdate").alias("moved_at"), c("l_shipdate").cast("date").alias("moved_day"),
         )
@@ -114,7 +116,7 @@ class Tables:
         return self.part.select(
             c("p_partkey").alias("article_id"), c("p_name").alias("article"),
             c("p_brand").alias("code"), c("p_type").alias("line"),
-            c("p_retailprice").cast(MONEY).alias("cost"),
+            minor("p_retailprice").alias("cost"),
             (c("p_size") * 5).alias("minimum"), (c("p_type") != "PROMO").alias("active"),
         )
 
@@ -149,14 +151,14 @@ class Tables:
         """Stock of each article in each warehouse (one row per pair)."""
         return (
             self.lines.where("is_return").groupBy("article_id", "warehouse_id")
-            .agg(F.sum("units").alias("stock"))
+            .agg(total("units").alias("stock"))
         )
 
     @property
     def stock_by_article(self) -> DataFrame:
         """Stock summed to the article before any join, so no code fans it out."""
         return (self.lines.where("is_return").groupBy("article_id")
-                .agg(F.sum("units").alias("stock")))
+                .agg(total("units").alias("stock")))
 
     def as_of(self):
         """Last document day as a scalar subquery: no date of the clock is used."""
