@@ -154,19 +154,19 @@ def profile(df: DataFrame) -> DataFrame:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier one over all columns (PRF-6, SET-4)."""
-    same = df.groupBy(*df.columns).agg(F.count("*").alias("n"))
-    return same.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-                    F.coalesce(F.sum(c("n") - 1), F.lit(0)).alias("duplicates"))
+    same = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
+    return same.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
+                    F.coalesce(F.sum(c("_n") - 1), F.lit(0)).alias("duplicates"))
 
 
 def summary(df: DataFrame) -> DataFrame:
     """Completeness, duplicates, number of numeric and text columns (PRF-5, PRF-6)."""
     nulls = reduce(lambda a, b: a + b, [c(n).isNull().cast("long") for n in df.columns])
-    same = df.groupBy(*df.columns).agg(F.count("*").alias("n"), F.sum(nulls).alias("nulls"))
+    same = df.groupBy(*df.columns).agg(F.count("*").alias("_n"), F.sum(nulls).alias("_nulls"))
     width = len(df.columns)
-    totals = same.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-                      F.coalesce(F.sum(c("n") - 1), F.lit(0)).alias("duplicates"),
-                      F.coalesce(F.sum("nulls"), F.lit(0)).alias("nulls"))
+    totals = same.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
+                      F.coalesce(F.sum(c("_n") - 1), F.lit(0)).alias("duplicates"),
+                      F.coalesce(F.sum("_nulls"), F.lit(0)).alias("nulls"))
     pct = (1 - F.try_divide(c("nulls").cast("double"), c("rows") * width)) * 100
     return totals.select(
         "rows", F.lit(width).alias("columns"), pct.alias("completeness"),
@@ -241,10 +241,10 @@ def key_uniqueness(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[
     parts = []
     for name, cols in keys.items():
         has_null = reduce(lambda a, b: a | b, [c(k).isNull() for k in cols])
-        seen = tables[name].groupBy(*cols).agg(F.count("*").alias("n"))
+        seen = tables[name].groupBy(*cols).agg(F.count("*").alias("_n"))
         parts.append(
-            seen.agg(F.count("*").alias("key_values"), F.count_if(c("n") > 1).alias("repeated"),
-                     F.coalesce(F.sum(F.when(has_null, c("n"))), F.lit(0)).alias("null_rows"))
+            seen.agg(F.count("*").alias("key_values"), F.count_if(c("_n") > 1).alias("repeated"),
+                     F.coalesce(F.sum(F.when(has_null, c("_n"))), F.lit(0)).alias("null_rows"))
             .select(F.lit(name).alias("table_name"), F.lit(", ".join(cols)).alias("key_columns"),
                     "key_values", "repeated", "null_rows"))
     return reduce(DataFrame.unionByName, parts)
@@ -259,14 +259,14 @@ def fk_integrity(tables: Mapping[str, DataFrame], edges) -> DataFrame:
     parts = []
     for table, cols, target, target_cols in edges:
         values = (tables[table].dropna("any", subset=list(cols)).groupBy(*cols)
-                  .agg(F.count("*").alias("n")))
+                  .agg(F.count("*").alias("_n")))
         targets = tables[target].select(*[c(b).alias(f"_{i}") for i, b in enumerate(target_cols)],
                                         F.lit(1).alias("_found")).distinct()
         on = reduce(lambda a, b: a & b, [c(a) == c(f"_{i}") for i, a in enumerate(cols)])
         found = values.join(targets, on, "left")
         parts.append(
-            found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-                      F.coalesce(F.sum(F.when(c("_found").isNull(), c("n"))), F.lit(0)).alias("orphans"))
+            found.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
+                      F.coalesce(F.sum(F.when(c("_found").isNull(), c("_n"))), F.lit(0)).alias("orphans"))
             .select(F.lit(table).alias("table_name"), F.lit(", ".join(cols)).alias("columns"),
                     F.lit(target).alias("referenced_table"),
                     F.lit(", ".join(target_cols)).alias("referenced_columns"), "rows", "orphans"))

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from tendero import dictionaries as D
 from tendero.functions.predicates import any_of
+from tendero.session import stored
 
 c = F.col
 
@@ -166,12 +167,12 @@ def _hits_sent(vectors: DataFrame, few: pd.DataFrame, k: int, threshold: float |
 def _hits_blocked(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None) -> DataFrame:
     spread = vectors.agg(F.count("*")).scalar()
     asked = queries.agg(F.count("*")).scalar()
-    v_blocks = F.ceil(spread / VECTOR_BLOCK).cast("int")
-    q_blocks = F.ceil(asked / QUERY_BLOCK).cast("int")
+    v_blocks = F.greatest(F.ceil(spread / VECTOR_BLOCK), F.lit(1)).cast("long")
+    q_blocks = F.ceil(asked / QUERY_BLOCK).cast("long")
     left = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), q_blocks)).withColumn(
-        "vb", F.explode(F.sequence(F.lit(0), v_blocks - 1)).cast("long"))
+        "vb", F.explode(F.sequence(F.lit(0).cast("long"), v_blocks - 1)))
     right = vectors.withColumn("vb", F.pmod(F.xxhash64("id"), v_blocks)).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), q_blocks - 1)).cast("long"))
+        "qb", F.explode(F.sequence(F.lit(0).cast("long"), q_blocks - 1)))
 
     def run(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "id": [], "similarity": []}
@@ -332,7 +333,7 @@ def retrieve_tables(questions: DataFrame, described: DataFrame, edges: DataFrame
                                        ("score", pa.float64())]))
 
     asked = texts.add(expanded, "expanded").select(c("query_id").cast("long"), "embedding")
-    hits = asked.mapInArrow(run, "query_id long, table_name string, score double")
+    hits = stored(asked.mapInArrow(run, "query_id long, table_name string, score double"), "hits")
     wide = expand_related(hits, edges, graph)
     facts = described.select(
         "table_name", "row_count", F.size("foreign_keys").alias("fks"), F.size("columns").alias("width"),
