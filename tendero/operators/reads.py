@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,7 +15,6 @@ def preview(df: DataFrame, limit: int, order: list[str | Column]) -> DataFrame:
     limit + 1 rows are taken by a top-k (a bounded heap per task), then ranked; the
     window and the flag see those rows only.
     """
-    from pyspark.sql import Window
     taken = df.orderBy(*order).limit(limit + 1)
     w = Window.orderBy(*order)
     return (
@@ -28,6 +29,21 @@ def page(df: DataFrame, skip: int, rows: int, order: list[str | Column]) -> Data
     return df.orderBy(*order).offset(skip).limit(rows)
 
 
+def batches(df: DataFrame, rows: int = 5000) -> Iterator[list[Row]]:
+    """A result in batches for a consumer on the driver (SRC-2).
+
+    One partition is held at a time. Files are written by ``reports.export`` instead.
+    """
+    held = []
+    for row in df.toLocalIterator(prefetchPartitions=True):
+        held.append(row)
+        if len(held) == rows:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def sample_rows(df: DataFrame, rows: int, order: list[str | Column]) -> DataFrame:
     """The first rows of a stated order (SRC-3)."""
     return df.orderBy(*order).limit(rows)

@@ -8,7 +8,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -189,12 +190,10 @@ def _hits_blocked(vectors: DataFrame, queries: DataFrame, k: int, threshold: flo
 
 
 def centroids(vectors: DataFrame, group: str) -> DataFrame:
-    """Mean vector of each group, one partial sum per position and task."""
-    cells = vectors.select(group, F.posexplode("embedding").alias("at", "v"))
-    means = cells.groupBy(group, "at").agg(F.avg(c("v").cast("double")).alias("v"))
-    rows = means.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("cells"))
-    return rows.select(c(group).cast("long").alias("query_id"),
-                       F.transform("cells", lambda x: x["v"]).alias("embedding"))
+    """Mean vector of each group, one partial mean per group and task."""
+    mean = Summarizer.mean(array_to_vector(c("embedding").cast("array<double>")))
+    return (vectors.where(c("embedding").isNotNull()).groupBy(c(group).cast("long").alias("query_id"))
+            .agg(vector_to_array(mean).alias("embedding")))
 
 
 # --- context score -------------------------------------------------------------------

@@ -508,8 +508,12 @@ def receivables(t: Tables) -> DataFrame:
 
 
 def _purchases(t: Tables, lo: Bound, hi: Bound) -> DataFrame:
-    """Received lines at article cost: summed per article before the cost is joined."""
-    return t.lines.where(in_period(c("moved_at"), lo, hi))
+    """Received lines with their value at article cost, in ten-thousandths."""
+    return (
+        t.lines.where(in_period(c("moved_at"), lo, hi))
+        .join(t.articles.select("article_id", "cost"), "article_id")
+        .withColumn("spent", c("units") * c("cost"))
+    )
 
 
 def sales_vs_purchases(t: Tables, lo: str, hi: str) -> DataFrame:
@@ -517,10 +521,8 @@ def sales_vs_purchases(t: Tables, lo: str, hi: str) -> DataFrame:
     sold = (doc_sales(t, lo, hi).groupBy(month_of(c("day")).alias("month"))
             .agg(rolled("net").alias("sold")))
     bought = (
-        _purchases(t, lo, hi).groupBy("article_id", month_of(c("moved_day")).alias("month"))
-        .agg(total("units").alias("units"))
-        .join(t.articles.select("article_id", "cost"), "article_id")
-        .groupBy("month").agg(F.sum(c("units") * exact("cost")).alias("bought"))
+        _purchases(t, lo, hi).groupBy(month_of(c("moved_day")).alias("month"))
+        .agg(total("spent", 4).alias("bought"))
     )
     zero = F.lit(0)
     return (
@@ -684,17 +686,10 @@ def purchases_by_supplier(t: Tables, lo: Bound, hi: Bound) -> DataFrame:
 
     The distinct count shuffles on (supplier, document), not on the supplier.
     """
-    bought = _purchases(t, lo, hi)
-    amount = (
-        bought.groupBy("warehouse_id", "article_id").agg(total("units").alias("units"))
-        .join(t.articles.select("article_id", "cost"), "article_id")
-        .groupBy("warehouse_id").agg(F.sum(c("units") * exact("cost")).alias("amount"))
-    )
-    orders = bought.groupBy("warehouse_id").agg(F.countDistinct("doc_id").alias("orders"))
-    return (
-        amount.join(orders, "warehouse_id")
-        .join(t.warehouses.select("warehouse_id", c("warehouse").alias("supplier")), "warehouse_id")
-    )
+    bought = _purchases(t, lo, hi).groupBy("warehouse_id").agg(
+        total("spent", 4).alias("amount"), F.countDistinct("doc_id").alias("orders"))
+    return bought.join(
+        t.warehouses.select("warehouse_id", c("warehouse").alias("supplier")), "warehouse_id")
 
 
 def articles_per_supplier(t: Tables) -> DataFrame:
@@ -749,17 +744,19 @@ def seller_performance(t: Tables, lo: Bound = None, hi: Bound = None) -> DataFra
     )
 
 
-def _sales_by_article(t: Tables, lo: Bound, hi: Bound, *extra) -> DataFrame:
-    """Sales summed to the article, then its line: the dimension meets sums only."""
-    sold = sale_lines(t, lo, hi).groupBy("article_id", *extra).agg(
-        F.count("*").alias("lines"), *halves("units", "net"))
-    return sold.join(t.articles.select("article_id", "line"), "article_id")
+def _sale_lines_by_line(t: Tables, lo: Bound = None, hi: Bound = None) -> DataFrame:
+    """Sale lines with the line of their article.
+
+    Joined before any grouping: a first sum by (article, something else) would be one
+    more shuffle of nearly as many rows. A dominant article is split by the skew join.
+    """
+    return sale_lines(t, lo, hi).join(t.articles.select("article_id", "line"), "article_id")
 
 
 def seasonality(t: Tables, k: int = 3) -> DataFrame:
     """BQ-43: best calendar months of each line by units."""
-    sold = (_sales_by_article(t, None, None, F.month("day").alias("month"))
-            .groupBy("line", "month").agg(rolled("units").alias("units")))
+    sold = (_sale_lines_by_line(t).groupBy("line", F.month("day").alias("month"))
+            .agg(total("units").alias("units")))
     return top_per_group(sold, "line", k, "units", "month")
 
 
@@ -799,13 +796,9 @@ def line_yoy(t: Tables, month: str) -> DataFrame:
     year_before = F.add_months(lo, -12)
     in_month = (in_period(c("placed_at"), lo, F.add_months(lo, 1))
                 | in_period(c("placed_at"), year_before, F.add_months(year_before, 1)))
-    docs = sale_docs(t).where(in_month)
-    sold = (
-        docs.join(t.lines.where(positive("units", "net")), "doc_id")
-        .groupBy("article_id", (c("day") >= lo).alias("this")).agg(*halves("net"))
-        .join(t.articles.select("article_id", "line"), "article_id")
-    )
-    return _compared(sold.groupBy("line"), c("this"), "net")
+    sold = _sale_lines_by_line(t).where(in_month)
+    halved = sold.groupBy("line", (c("day") >= lo).alias("this")).agg(*halves("net"))
+    return _compared(halved.groupBy("line"), c("this"), "net")
 
 
 def executive_cube(t: Tables) -> DataFrame:
@@ -814,9 +807,8 @@ def executive_cube(t: Tables) -> DataFrame:
     Sums are taken to the base grain first, so the eightfold expansion of the cube
     works on segments x lines x zones and not on the lines of the documents.
     """
-    sold = _sales_by_article(t, None, None, "customer_id").drop("article_id")
-    sold = sold.groupBy("customer_id", "line").agg(
-        F.sum("lines").alias("lines"), *rolled_halves("units", "net"))
+    sold = _sale_lines_by_line(t).groupBy("customer_id", "line").agg(
+        F.count("*").alias("lines"), *halves("units", "net"))
     base = (
         sold.join(t.customers.select("customer_id", "segment", "nation_id"), "customer_id")
         .join(t.zones, "nation_id").groupBy("segment", "line", "zone")
@@ -827,8 +819,12 @@ def executive_cube(t: Tables) -> DataFrame:
 
 
 def sales_by_category(t: Tables, lo: Bound = None, hi: Bound = None) -> DataFrame:
-    """BQ-56: units and amount by article line."""
+    """BQ-56: units and amount by article line.
+
+    Summed to the article first: the join on the article then needs no other shuffle.
+    """
+    sold = sale_lines(t, lo, hi).groupBy("article_id").agg(*halves("units", "net"))
     return (
-        _sales_by_article(t, lo, hi).groupBy("line")
+        sold.join(t.articles.select("article_id", "line"), "article_id").groupBy("line")
         .agg(rolled("units").alias("units"), rolled("net").alias("amount"))
     )

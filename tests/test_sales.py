@@ -186,3 +186,8 @@ def test_scalar_functions(spark):
                           "2024-01-02", "una pregunta muy larga sobre las ventas del mes...",
                           "catálogo mediano (150 registros)", "volumen muy alto (123,456 registros)", 1.0, None,
                           1234.5, True)
+
+
+def test_batches(spark):
+    from tendero.operators.reads import batches
+    assert [len(b) for b in batches(spark.range(0, 12), 5)] == [5, 5, 2]
