@@ -48,8 +48,8 @@ def frequencies(df: DataFrame, columns: Sequence[str], as_type: str) -> DataFram
     )
 
 
-def exact_quantiles(freq: DataFrame, points: Mapping[str, float], cuts: int = 128) -> DataFrame:
-    """Exact interpolated quantiles of every column of a frequency table.
+def value_stats(freq: DataFrame, points: Mapping[str, float], cuts: int = 128) -> DataFrame:
+    """Count, distinct values, ends and exact interpolated quantiles of every column.
 
     ``percentile`` would gather all distinct values of a column in one task. Here the
     distinct values are split into ranges at their approximate quantiles, range totals
@@ -60,7 +60,7 @@ def exact_quantiles(freq: DataFrame, points: Mapping[str, float], cuts: int = 12
     steps = [i / cuts for i in range(1, cuts)]
     block = 12
     edges = (
-        freq.groupBy("column").agg(F.percentile_approx("value", steps).alias("edges"),
+        freq.groupBy("column").agg(F.percentile_approx("value", steps, 2000).alias("edges"),
                                    F.sum("n").alias("total"))
         .withColumn("lasts", F.filter("edges", lambda e, i: i % block == block - 1))
     )
@@ -88,13 +88,15 @@ def exact_quantiles(freq: DataFrame, points: Mapping[str, float], cuts: int = 12
         for side, rank in (("lo", F.floor(h)), ("hi", F.ceil(h))):
             hit = (c("before") <= rank) & (rank < c("after"))
             picks.append(F.max(F.when(hit, c("value"))).alias(f"{name}_{side}"))
-    found = ranked.groupBy("column").agg(F.first("total").alias("total"), *picks)
+    found = ranked.groupBy("column").agg(
+        F.first("total").alias("total"), F.count("*").alias("unique"), F.min("value").alias("min"),
+        F.max("value").alias("max"), *picks)
     values = []
     for name, p in points.items():
         h = F.lit(float(p)) * (c("total") - 1)
         lo, hi = c(f"{name}_lo"), c(f"{name}_hi")
         values.append((lo + (hi - lo) * (h - F.floor(h))).alias(name))
-    return found.select("column", *values)
+    return found.select("column", c("total").alias("non_null"), "unique", "min", "max", *values)
 
 
 def _moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -120,12 +122,7 @@ def profile(df: DataFrame) -> DataFrame:
     parts = []
     if numeric:
         freq = stored(frequencies(df, numeric, "double"), "frequencies")
-        stats = freq.groupBy("column").agg(
-            F.sum("n").alias("non_null"), F.count("*").alias("unique"),
-            F.min("value").alias("min"), F.max("value").alias("max"))
-        stats = stats.join(exact_quantiles(freq, {"median": 0.5}), "column", "left")
-        stats = stats.join(_moments(df, numeric), "column", "left")
-        parts.append(stats)
+        parts.append(value_stats(freq, {"median": 0.5}).join(_moments(df, numeric), "column"))
     if rest:
         freq = frequencies(df, rest, "string")
         parts.append(freq.groupBy("column").agg(
@@ -179,12 +176,10 @@ def describe(df: DataFrame) -> DataFrame:
     """Count, mean, deviation, minimum, quartiles and maximum of numeric columns (PRF-7)."""
     numeric = numeric_columns(df)
     freq = stored(frequencies(df, numeric, "double"), "frequencies")
-    ends = freq.groupBy("column").agg(
-        F.sum("n").alias("count"), F.min("value").alias("min"), F.max("value").alias("max"))
-    quartiles = exact_quantiles(freq, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    values = value_stats(freq, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
     return (
-        ends.join(_moments(df, numeric), "column").join(quartiles, "column")
-        .select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+        values.join(_moments(df, numeric), "column")
+        .select("column", c("non_null").alias("count"), "mean", "std", "min", "p25", "p50", "p75", "max")
     )
 
 

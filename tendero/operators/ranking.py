@@ -43,7 +43,8 @@ def running_total(df: DataFrame, value: str, key: str, cuts: int = 256) -> DataF
     """
     df = stored(df.withColumn("_v", -c(value).cast("double")), "running")
     steps = [i / cuts for i in range(1, cuts)]
-    found = df.agg(F.percentile_approx("_v", steps).alias("v"), F.percentile_approx(key, steps).alias("k")).first()
+    found = df.agg(F.percentile_approx("_v", steps, 4000).alias("v"),
+                   F.percentile_approx(key, steps, 4000).alias("k")).first()
     edges, key_edges = sorted(found.v or []), sorted(found.k or [])
     common = sorted({a for a, b in zip(edges, edges[1:]) if a == b})
     part = F.lit(0)

@@ -144,6 +144,7 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP_K,
 def _hits_sent(vectors: DataFrame, few: pd.DataFrame, k: int, threshold: float | None) -> DataFrame:
     query_ids = few["query_id"].to_numpy()
     wanted = _unit(np.stack(few["embedding"].to_numpy()))
+    vectors = vectors.where(F.size("embedding") == wanted.shape[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}

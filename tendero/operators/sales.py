@@ -82,9 +82,9 @@ def with_few(facts: DataFrame, dim: DataFrame, key: str, how: str = "inner") ->
     return facts.join(F.broadcast(named), key, "left")
 
 
-def unit_price(gross: Column | str = "gross", units: Column | str = "units") -> Column:
-    """Price of a unit; both measures have two places, so they cancel."""
-    return F.try_divide(real(gross), real(units))
+def unit_price(gross: str = "gross", units: str = "units") -> Column:
+    """Price of a unit, in double."""
+    return F.try_divide(real(gross) / 100, real(units) / 100)
 
 
 # --- totals and details (BQ-1 .. BQ-17) --------------------------------------

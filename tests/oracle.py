@@ -12,6 +12,7 @@ import duckdb
 from tendero.sources.tables import TABLE_NAMES
 
 DATA = "/root/testdata"
+DIGITS = int(os.environ.get("TEST_DIGITS", "10"))  # significant digits of a double
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
@@ -27,7 +28,7 @@ def plain(v):
     if isinstance(v, decimal.Decimal):
         v = float(v)
     if isinstance(v, float):
-        return None if math.isnan(v) else float(f"{v:.10g}")
+        return None if math.isnan(v) else float(f"{v:.{DIGITS}g}")
     if isinstance(v, datetime.datetime) and v.time() == datetime.time(0):
         return v.date().isoformat()
     if isinstance(v, (datetime.datetime, datetime.date)):

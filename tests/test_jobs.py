@@ -39,7 +39,7 @@ def test_exact_quantiles(spark, common):
     rng = random.Random(5)
     values = [7.0 if rng.random() < common else rng.random() * 100 for _ in range(4000)]
     freq = prf.frequencies(spark.createDataFrame([(v,) for v in values], "x double"), ["x"], "double")
-    got = prf.exact_quantiles(freq, {"a": 0.25, "b": 0.5, "c": 0.99, "z": 1.0}, cuts=16).first()
+    got = prf.value_stats(freq, {"a": 0.25, "b": 0.5, "c": 0.99, "z": 1.0}, cuts=16).first()
     for name, p in (("a", 0.25), ("b", 0.5), ("c", 0.99), ("z", 1.0)):
         assert got[name] == pytest.approx(np.quantile(values, p), abs=1e-9)
 
