@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tendero.llm import words as W
 
@@ -109,22 +110,24 @@ def train(labelled: DataFrame, *, sample: int = 20_000, bits: int = 18) -> np.nd
     return np.frombuffer(found[0][0], np.float32) if found else np.zeros((1 << bits) + 1, np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of every row."""
+def score(docs: DataFrame, weights: np.ndarray, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``docs`` with the score of every row in ``score_col``, which must be a new name."""
+    if score_col in docs.columns:
+        raise ValueError(f"docs already has a column {score_col}")
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    bits = (len(weights) - 1).bit_length() - 1
+    bits, place = (len(weights) - 1).bit_length() - 1, docs.columns.index(text_col)
 
     def run(batches):
         w = shared.value.astype(np.float64)
         for batch in batches:
-            for at, end, data, offsets in W.slices(batch.column(1)):
+            for at, end, data, offsets in W.slices(batch.column(place)):
                 index, row, value = features(data, offsets, bits)
                 dot = np.bincount(row, w[index] * value, end - at) + w[-1]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, end - at), pa.array(1 / (1 + np.exp(-np.clip(dot, -35, 35))))], ["doc_id", "score"])
+                part = batch.slice(at, end - at)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(dot, -35, 35))))],
+                                                 [*part.schema.names, score_col])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def remainder(id_col: str, parts: int):
@@ -132,12 +135,16 @@ def remainder(id_col: str, parts: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % parts, F.lit(0))
 
 
+def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 5, sample: int = 20_000, bits: int = 18) -> np.ndarray:
+    """Weights learnt from the labelled rows of ``docs`` outside fold 0."""
+    known = labels.select("doc_id", F.col("quality").alias("label")).where(remainder("doc_id", folds) != 0)
+    return train(docs.select("doc_id", "text").where(remainder("doc_id", folds) != 0).join(known, "doc_id"), sample=sample, bits=bits)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, *, folds: int = 5, threshold: float = 0.3,
                    sample: int = 20_000, bits: int = 18) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row; rows of fold 0 are never trained on."""
-    known = labels.select("doc_id", F.col("quality").alias("label")).where(remainder("doc_id", folds) != 0)
-    texts = docs.select("doc_id", "text")
-    weights = train(texts.where(remainder("doc_id", folds) != 0).join(known, "doc_id"), sample=sample, bits=bits)
-    return score(texts, weights).select(
+    weights = fit(docs, labels, folds=folds, sample=sample, bits=bits)
+    return score(docs.select("doc_id", "text"), weights).select(
         "doc_id", (remainder("doc_id", folds) == 0).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))
