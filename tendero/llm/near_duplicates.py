@@ -11,8 +11,10 @@ Links are complete without writing out all pairs of a group:
 1. documents with equal sets are one class, kept by its smallest id;
 2. in every bucket of equal bands each class meets the bucket's most connected class,
    and the pair is confirmed on full sets;
-3. buckets whose classes still lie in several components compare them exactly, block
-   against block, inside tasks; only links come out.
+3. in buckets whose classes still lie in several components, tasks compare signatures
+   block against block: first each class meets the most similar class of another
+   component, then all pairs that signatures cannot rule out are compared on sets, each
+   in the first band they share; only links come out of the tasks, and are confirmed.
 
 Rows: null or empty texts and texts without words have no set and no link. Rows of one
 document id count as one document. A null id is a document of its own with a null
@@ -33,7 +35,7 @@ from tendero.llm.components import components
 from tendero.session import stored
 
 STEP = 40  # bits of the random part of a slot's value; the step stands above
-BLOCK_BYTES = 1_000_000  # set bytes of a block of the exact comparison
+BLOCK_BYTES = 1_000_000  # set or signature bytes of a block of a comparison
 TILE = 8192  # different shingles counted at once
 
 
@@ -98,19 +100,21 @@ def _sketches(width: int, bands: int, band: int):
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, short: bool = False):
+    """Each text's set as 64-bit values, or as distinct 32-bit ones (``short``)."""
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
             for at, values, edges in text_sets(batch.column(1), width):
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(at, len(edges) - 1),
-                    pa.array([values[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())], ["id", "set"])
+                    pa.array([(np.unique(values[a:b].astype(np.uint32)) if short else values[a:b]).tobytes()
+                              for a, b in zip(edges[:-1], edges[1:])], pa.binary())], ["id", "set"])
     return run
 
 
-def _alike(sim: Fraction, agree: int):
-    """Pairs of signatures that could reach the similarity (five deviations below it pass)."""
+def _alike(agree: int):
+    """Pairs of signatures with at least ``agree`` equal slots."""
     def run(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
@@ -158,22 +162,60 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return counts
 
 
+def _columns(table: pa.Table, name: str, kind) -> tuple:
+    return table["id"].to_numpy(), table["label"].to_numpy(), [np.frombuffer(x, kind) for x in table[name].to_pylist()]
+
+
+def _block_suspects(band: int, agree: int, best: bool):
+    """Pairs of different components that may be similar, in the first band that they share.
+
+    ``best``: for each class of the left side the most similar one, as a pair; else the
+    classes that take part in any pair, each with itself.
+    """
+    empty = pa.table({"band": pa.array([], pa.int32()), "value": pa.array([], pa.int64()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return empty
+        here, value = key[0].as_py(), key[1].as_py()
+        (ia, la, sa), (ib, lb, sb) = _columns(left, "sig", np.uint8), _columns(right, "sig", np.uint8)
+        sa, sb = np.array(sa), np.array(sb)
+        used_a, used_b, pairs = np.zeros(len(ia), bool), np.zeros(len(ib), bool), []
+        step = max(1, 20_000_000 // sb.size)
+        for at in range(0, len(ia), step):
+            same = sa[at:at + step, None, :] == sb[None, :, :]
+            equal = same.sum(2)
+            open_ = (equal >= agree) & (la[at:at + step, None] != lb[None, :])
+            rows, cols = np.nonzero(open_)
+            if len(rows):
+                shared = same[rows, cols].reshape(len(rows), -1, band).all(2).argmax(1) == here
+                rows, cols = rows[shared], cols[shared]
+            used_a[at + rows], used_b[cols] = True, True
+            if best and len(rows):
+                order = np.lexsort((cols, -equal[rows, cols], rows))
+                first = order[np.concatenate(([True], np.diff(rows[order]) > 0))]
+                pairs += zip(ia[at + rows[first]].tolist(), ib[cols[first]].tolist())
+        if not best:
+            used = np.unique(np.concatenate((ia[used_a], ib[used_b]))).tolist()
+            pairs = list(zip(used, used))
+        return pa.table({"band": pa.array([here] * len(pairs), pa.int32()), "value": pa.array([value] * len(pairs), pa.int64()),
+                         "a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+    return run
+
+
 def _block_links(sim: Fraction):
+    """Pairs of different components whose sets are similar; sets are given by 32 bits an element."""
     empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return empty
-        (ia, la, sa), (ib, lb, sb) = (
-            (t["id"].to_numpy(), t["label"].to_numpy(), [np.frombuffer(x, np.uint64) for x in t["set"].to_pylist()])
-            for t in (left, right))
+        (ia, la, sa), (ib, lb, sb) = _columns(left, "set", np.uint32), _columns(right, "set", np.uint32)
         both = common_counts(sa, sb)
         sizes = np.array([len(x) for x in sa])[:, None] + np.array([len(x) for x in sb])[None, :]
         hit = (both * sim.denominator >= sim.numerator * (sizes - both)) & (both > 0) & (la[:, None] != lb[None, :])
         a, b = np.nonzero(hit)
-        # one link joins two components; more of them add nothing
-        _, first = np.unique(np.stack([la[a], lb[b]], 1), axis=0, return_index=True)
-        return pa.table({"a": ia[a][first], "b": ib[b][first]})
+        return pa.table({"a": ia[a], "b": ib[b]})
     return run
 
 
@@ -190,11 +232,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         _sketches(width, bands, band), "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, sig binary"), "sketches")
 
     # 1. classes of equal sets, known by their smallest id
-    key = ["n_shingles", "key1", "key2"]
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(
+    same = ["n_shingles", "key1", "key2"]
+    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(
         F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sig", "doc_id").alias("sig"))
     classes = stored(classes, "classes")
 
+    size = classes.select("id", "n_shingles", "sig")
+    # four standard deviations of the share of equal slots below the similarity
+    agree = int(bands * band * float(sim) - 4 * (bands * band * float(sim) * (1 - float(sim))) ** 0.5)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        sets = (texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "id long, set binary").dropDuplicates(["id"]))
+        sets = stored(sets, "sets")
+        return stored(pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+                      .select("a", "b", "sa", "sb").mapInArrow(_confirmed(sim), "a long, b long"), "confirmed")
+
     # 2. each class with the most connected class of each of its buckets
     slots = classes.select("id", F.posexplode("bands").alias("band", "value"))
     busy = slots.groupBy("band", "value").agg(F.count("*").alias("members")).where("members > 1")
@@ -204,50 +257,54 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         F.min(F.struct(-F.col("ties"), F.col("id"))).getField("id").alias("hub"))
     pairs = (slots.join(hubs, ["band", "value"]).where("id != hub")
              .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
-    size = classes.select("id", "n_shingles", "sig")
-    # five standard deviations of the share of equal slots below the similarity
-    agree = int(bands * band * float(sim) - 5 * (bands * band * float(sim) * (1 - float(sim))) ** 0.5)
     pairs = (pairs.join(size.toDF("a", "na", "sa"), "a").join(size.toDF("b", "nb", "sb"), "b")
              .where(F.least("na", "nb") * sim.denominator >= F.greatest("na", "nb") * sim.numerator)
-             .select("a", "b", "sa", "sb").mapInArrow(_alike(sim, agree), "a long, b long"))
-    pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = stored(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "id long, set binary")
-                  .dropDuplicates(["id"]), "sets")
-    links = stored(pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-                   .select("a", "b", "sa", "sb").mapInArrow(_confirmed(sim), "a long, b long"), "confirmed")
+             .select("a", "b", "sa", "sb").mapInArrow(_alike(agree), "a long, b long"))
+    links = confirmed(stored(pairs, "pairs"))
     found = stored(components(links), "components")
 
-    # 3. buckets that still hold several components
-    named = slots.join(found.withColumnRenamed("node", "id"), "id", "left").select(
-        "band", "value", "id", F.coalesce("component", "id").alias("label"))
-    mixed = (named.groupBy("band", "value", "label").agg(F.count("*").alias("n"))
-             .groupBy("band", "value").agg(F.max(F.struct("n", "label")).getField("label").alias("main"),
-                                           F.count("*").alias("labels")).where("labels > 1"))
-    # a bucket of two was compared in full by step 2
-    open_ = stored(named.join(mixed.join(busy.where("members > 2"), ["band", "value"]), ["band", "value"])
-                   .join(size.select("id", "n_shingles"), "id"), "open")
-    more = texts.join(open_.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = stored(more.mapInArrow(_sets(width), "id long, set binary").dropDuplicates(["id"]), "sets")
-    blocks = open_.groupBy("band", "value").agg(F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES).alias("blocks"))
-    tagged = (open_.join(blocks, ["band", "value"])
-              .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-              .join(sets, "id"))
-    side = ["band", "value", "left", "right"]
-    one = (tagged.where("label != main").withColumn("left", F.col("block"))
-           .withColumn("right", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-           .select(*side, "id", "label", "set"))
-    two = (tagged.withColumn("right", F.col("block"))
-           .withColumn("left", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-           .select(*[F.col(c).alias(f"_{c}") for c in side], F.col("id").alias("_id"),
-                   F.col("label").alias("_label"), F.col("set").alias("_set"))
-           .toDF(*side, "id", "label", "set"))
-    late = one.groupBy(*side).cogroup(two.groupBy(*side)).applyInArrow(_block_links(sim), "a long, b long")
-    late = stored(late, "late")
-    found = stored(components(links.union(late)), "components")
+    # 3. buckets that still hold several components (a bucket of two was compared by step 2)
+    crowded = slots.where("members > 2")
+    key = ["band", "value"]
+    side = [*key, "left", "right"]
+
+    def mixed() -> DataFrame:
+        named = crowded.join(found.withColumnRenamed("node", "id"), "id", "left").select(
+            *key, "id", F.coalesce("component", "id").alias("label"))
+        main = (named.groupBy(*key, "label").agg(F.count("*").alias("n"))
+                .groupBy(*key).agg(F.max(F.struct("n", "label")).getField("label").alias("main"), F.count("*").alias("labels")).where("labels > 1"))
+        return named.join(main, key)
+
+    def blocks(members: DataFrame, data: DataFrame, name: str, fn, schema: str) -> DataFrame:
+        """``fn`` over all pairs of blocks of a bucket: classes outside its main component against all."""
+        parts = members.groupBy(*key).agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).alias("blocks"))
+        tagged = (members.join(parts, key).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(data, "id"))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        one = tagged.where("label != main").withColumn("left", F.col("block")).withColumn("right", every).select(*side, "id", "label", name)
+        two = tagged.withColumn("right", F.col("block")).withColumn("left", every).select(
+            *[F.col(c).alias(f"_{c}") for c in (*side, "id", "label", name)]).toDF(*side, "id", "label", name)
+        return one.groupBy(*side).cogroup(two.groupBy(*side)).applyInArrow(fn, schema)
+
+    suspect_schema = "band int, value long, a long, b long"
+    signs = size.select("id", "sig")
+    near = lambda members, best: blocks(
+        members.withColumn("bytes", F.lit(bands * band)), signs, "sig", _block_suspects(band, agree, best), suspect_schema)
+    best = near(mixed(), True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = links.union(confirmed(stored(best, "best")))
+    found = stored(components(links), "components")
+    members = stored(mixed(), "mixed")
+    suspects = stored(near(members, False).select(*key, F.col("a").alias("id")).distinct(), "suspects")
+    wanted = suspects.select(F.col("id").alias("doc_id")).distinct()
+    short = stored(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width, short=True), "id long, set binary")
+                   .dropDuplicates(["id"]), "sets")
+    last = blocks(members.join(suspects, [*key, "id"], "left_semi").join(size.select("id", (F.col("n_shingles") * 4).alias("bytes")), "id"),
+                  short, "set", _block_links(sim), "a long, b long")
+    last = last.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = links.union(confirmed(stored(last, "late")))
+    found = stored(components(links), "components")
 
     # every row of a class has the class's component; ids of several classes join them
-    named = rows.join(classes.select(*key, F.col("id").alias("node")), key, "left") \
+    named = rows.join(classes.select(*same, F.col("id").alias("node")), same, "left") \
         .join(found, "node", "left") \
         .withColumn("component_id", F.coalesce("component", "node", "doc_id"))
     return named.select("doc_id", "n_shingles", "component_id",

@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendero.llm import decontamination, near_duplicates, quality_classifier, secrets, sentencepiece_bpe
+from tendero.llm import decontamination, near_duplicates, quality_classifier, secrets, sentencepiece_bpe, sharding, token_files
+from tendero.session import checkpoint_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written to seekable files and read back from them."""
+    folder = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read(spark, folder, digest=True)
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate of every text with the forest's verdict; values as digests."""
     found = secrets.scan(_table(spark, sf_dir, "documents"))
@@ -35,11 +45,17 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of eight shards, with its slot and its shard of nine."""
+    return sharding.numbered(_table(spark, sf_dir, "documents"), 8)
+
+
 def op10_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under the links of 85 % equal three-word shingles."""
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"), width=3, similarity="0.85", bands=25, band=5)
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_secret_scan, op3_benchmark_decontamination, op4_sentencepiece, op6_quality_classifier, op10_minhash_groups)}
-SQL: dict[str, str] = {}
+    op1_token_files, op2_secret_scan, op3_benchmark_decontamination, op4_sentencepiece, op6_quality_classifier,
+    op7_rendezvous_shards, op10_minhash_groups)}
+SQL = {"op7_rendezvous_shards": sharding.numbered_sql(8)}
