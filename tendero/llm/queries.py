@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendero.llm import decontamination, near_duplicates, quality_classifier, secrets, sentencepiece_bpe, sharding, token_files
+from tendero.llm import (decontamination, lm_scoring, near_duplicates, quality_classifier, quality_rules, secrets, sentencepiece_bpe,
+                         sharding, substring_dedup, token_files)
 from tendero.session import checkpoint_dir
 
 
@@ -40,6 +41,11 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_robust_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, base rule and robust outlier verdict of every document."""
+    return quality_rules.judged(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return quality_classifier.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -50,12 +56,22 @@ def op7_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.numbered(_table(spark, sf_dir, "documents"), 8)
 
 
+def op8_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of fifty words or more that another document holds too."""
+    return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of every document beside its exact unigram score."""
+    return lm_scoring.lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under the links of 85 % equal three-word shingles."""
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"), width=3, similarity="0.85", bands=25, band=5)
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_files, op2_secret_scan, op3_benchmark_decontamination, op4_sentencepiece, op6_quality_classifier,
-    op7_rendezvous_shards, op10_minhash_groups)}
+    op1_token_files, op2_secret_scan, op3_benchmark_decontamination, op4_sentencepiece, op5_robust_quality_rules,
+    op6_quality_classifier, op7_rendezvous_shards, op8_compact_windows, op9_bloom_lm, op10_minhash_groups)}
 SQL = {"op7_rendezvous_shards": sharding.numbered_sql(8)}
