@@ -74,7 +74,7 @@ class Model:
         table[self.unknown] = " ⁇ ".encode()
         self.is_byte = np.zeros(size, bool)
         self.is_byte[list(self.byte_id.values())] = True
-        self.gap_first = np.array([t.startswith(b" ") for t in table])
+        self.gap_first = np.array([t.startswith(b" ") for t in table]) & ~self.is_byte
         self.lengths = np.array([len(t) for t in table])
         self.at = np.concatenate(([0], np.cumsum(self.lengths)))[:-1]
         self.bytes = np.frombuffer(b"".join(table), np.uint8)
