@@ -105,10 +105,15 @@ def tax_identity(subtotal: Column, tax: Column, total: Column, tolerance: float
     return F.abs(real(subtotal) + real(tax) - real(total)) <= tolerance
 
 
-def thousands(c: Column | str, decimals: int = 2) -> Column:
-    """``N/A`` for NULL, else a number with separators (FN-10)."""
+def thousands(c: Column | str, decimals: int | None = None) -> Column:
+    """``N/A`` for NULL, else a number with separators: no decimals for whole types, else two (FN-10)."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.when(c.isNull(), F.lit("N/A")).otherwise(F.format_number(c, decimals))
+    if decimals is None:
+        whole = F.typeof(c).isin("tinyint", "smallint", "int", "bigint")
+        shown = F.when(whole, F.format_number(c, 0)).otherwise(F.format_number(c, 2))
+    else:
+        shown = F.format_number(c, decimals)
+    return F.when(c.isNull(), F.lit("N/A")).otherwise(shown)
 
 
 def stamp(c: Column | str, with_time: bool = True) -> Column:

@@ -39,8 +39,9 @@ def in_period(c: Column, lo: str | Column | None, hi: str | Column | None) -> Co
 
 
 def in_closed_period(c: Column, lo: str | Column, hi: str | Column) -> Column:
-    """Closed range of days (FLT-2)."""
-    return c.between(_moment(lo), _moment(hi))
+    """Closed range of days; the last one counts to its end (FLT-2)."""
+    last = (F.lit(hi) if isinstance(hi, str) else hi).cast("date")
+    return (c >= _moment(lo)) & (c < F.date_add(last, 1).cast("timestamp_ntz"))
 
 
 def trailing(c: Column, as_of: str | Column, days: int) -> Column:

@@ -101,11 +101,14 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int, threshold: float | None):
-    """Row numbers of the k best per query column, ties by id."""
+    """Row numbers of the k best per query column, ties of the rounded score by id.
+
+    The threshold holds for the score as computed, not for the rounded one.
+    """
     rounded = np.round(scores, 6)
     for q in range(rounded.shape[1]):
         s = rounded[:, q]
-        keep = np.arange(len(s)) if threshold is None else np.flatnonzero(s >= threshold)
+        keep = np.arange(len(s)) if threshold is None else np.flatnonzero(scores[:, q] >= threshold)
         if len(keep) > 4 * k:  # cut by score first; ties with the k-th stay in
             kth = np.partition(s[keep], len(keep) - k)[len(keep) - k]
             keep = keep[s[keep] >= kth]
@@ -271,16 +274,19 @@ def expand_related(hits: DataFrame, edges: DataFrame, graph: DataFrame | None =
                 F.lit(1).alias("way"), "n", "m"))
     if graph is not None:
         weighed = best.join(graph.select(c("src").alias("table_name"), c("dst").alias("related")), "table_name")
-        # tables already added do not use up a place among the five
-        known = found[0].unionByName(found[1]).select("query_id", c("table_name").alias("related")).distinct()
-        weighed = weighed.join(known, ["query_id", "related"], "left_anti")
         weighed = weighed.withColumn("weight", graph_importance(c("related"), c("table_name")))
         heavy = Window.partitionBy("query_id", "table_name").orderBy(c("weight").desc(), "related")
-        found.append(
-            weighed.withColumn("m", F.row_number().over(heavy)).where(c("m") <= most)
-            .select("query_id", c("related").alias("table_name"), (c("score") * 0.7).alias("score"),
-                    F.concat(F.lit("Tabla relacionada con "), "table_name").alias("via"),
-                    F.lit(2).alias("way"), "n", "m"))
+        # hit by hit: tables that are there already, also from a better hit, use up no place
+        for n in range(1, tops + 1):
+            known = found[0].select("query_id", c("table_name").alias("related"))
+            for more in found[1:]:
+                known = known.union(more.select("query_id", "table_name"))
+            left = weighed.where(c("n") == n).join(known.distinct(), ["query_id", "related"], "left_anti")
+            found.append(
+                left.withColumn("m", F.row_number().over(heavy)).where(c("m") <= most)
+                .select("query_id", c("related").alias("table_name"), (c("score") * 0.7).alias("score"),
+                        F.concat(F.lit("Tabla relacionada con "), "table_name").alias("via"),
+                        F.lit(2).alias("way"), "n", "m"))
     all_ways = found[0]
     for more in found[1:]:
         all_ways = all_ways.unionByName(more)

@@ -19,13 +19,18 @@ c = F.col
 
 def stream_table(spark: SparkSession, root: str, name: str, schema: StructType | str | None = None,
                  files_per_trigger: int | None = None) -> DataFrame:
-    """A stored table as a stream of its files."""
-    if schema is None:
-        schema = spark.read.parquet(f"{root}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+    """A stored table, one file or a folder of part files, as a stream of its files.
+
+    Nothing under that name is an error of the reader.
+    """
+    path = f"{root}/{name}.parquet"
+    stored_rows = spark.read.parquet(path)
+    reader = spark.readStream.schema(stored_rows.schema if schema is None else schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(root)
+    if any(f.rstrip("/").endswith(f"/{name}.parquet") for f in stored_rows.inputFiles()):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(root)
+    return reader.parquet(path)
 
 
 def session_state(messages: DataFrame) -> DataFrame:

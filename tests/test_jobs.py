@@ -359,3 +359,39 @@ def test_csv_writes_null_as_nothing(spark, tmp_path):
     assert reports.export(spark.createDataFrame([("a", None)], "x string, y string").coalesce(1), path) == 1
     (file,) = (tmp_path / "c").glob("*.csv")
     assert file.read_text() == "x,y\na,\n"
+
+
+def test_closed_period_holds_its_last_day(spark):
+    from tendero.functions.predicates import in_closed_period
+    rows = spark.sql("select timestamp_ntz '2001-01-31 18:00:00' as at union all select timestamp_ntz '2001-02-01 00:00:00'")
+    assert rows.where(in_closed_period(F.col("at"), "2001-01-01", "2001-01-31")).count() == 1
+
+
+def test_whole_numbers_have_no_decimals(spark):
+    from tendero.functions.columns import thousands
+    row = spark.sql("select 1234 as a, 5.0D as b, cast(null as int) as n").select(*[thousands(x) for x in "abn"]).first()
+    assert tuple(row) == ("1,234", "5.00", "N/A")
+
+
+def test_graph_places_go_hit_by_hit(spark):
+    from tendero.operators.retrieval import expand_related
+    hits = spark.createDataFrame([(1, "A", 0.9), (1, "B", 0.8)], "query_id long, table_name string, score double")
+    edges = spark.createDataFrame([], "src string, dst string")
+    graph = spark.createDataFrame([("A", "X1"), ("B", "X1"), ("B", "X2")], "src string, dst string")
+    got = {r.table_name: r.via for r in expand_related(hits, edges, graph, most=1).collect() if r.related}
+    assert got == {"X1": "Tabla relacionada con A", "X2": "Tabla relacionada con B"}
+
+
+def test_stream_reads_files_and_folders(spark, tmp_path):
+    from tendero.streaming.state import stream_table
+    rows = spark.range(100)
+    rows.repartition(3).write.parquet(f"{tmp_path}/things.parquet")
+    rows.toPandas().to_parquet(f"{tmp_path}/other.parquet")
+    rows.toPandas().to_parquet(f"{tmp_path}/other2.parquet")
+    for name in ("things", "other"):
+        query = (stream_table(spark, str(tmp_path), name).writeStream.format("memory").queryName(f"seen_{name}")
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
+        assert spark.table(f"seen_{name}").count() == 100
+    with pytest.raises(Exception):
+        stream_table(spark, str(tmp_path), "missing")
