@@ -344,7 +344,7 @@ p AS (SELECT *, avg({_d('total')}) OVER w AS mean, stddev_samp({_d('total')}) OV
              max(month) OVER (PARTITION BY customer_id) AS last_month
       FROM m WINDOW w AS (PARTITION BY customer_id ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT customer_id, month, {_d('total')} AS total, round(mean, 2) AS mean, round(spread, 2) AS spread
-FROM p WHERE month = last_month AND {_d('total')} < mean - 1.0 * spread""",
+FROM p WHERE month = last_month AND {_d('total')} < mean - 2.0 * spread""",
     "frequent_customers": """
 SELECT x.customer_id, documents, customer
 FROM (SELECT customer_id, count(DISTINCT doc_id) AS documents FROM h GROUP BY 1

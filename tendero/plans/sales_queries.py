@@ -91,7 +91,7 @@ SALES_QUERIES: dict[str, Query] = {
     "line_yoy": lambda t: sales.line_yoy(t, "2001-07-01"),
     "overdue_customers": sales.overdue_customers,
     "stock_evolution": sales.stock_evolution,
-    "sales_drop_anomaly": lambda t: sales.sales_drop_anomaly(t, sigmas=1.0),
+    "sales_drop_anomaly": lambda t: sales.sales_drop_anomaly(t, sigmas=2.0),
     "warehouse_ranking": sales.warehouse_ranking,
     "executive_cube": sales.executive_cube,
     "critical_stock": sales.critical_stock,

@@ -19,7 +19,7 @@ PRIMARY_KEYS = {
     "supplier": ("s_suppkey",), "part": ("p_partkey",), "orders": ("o_orderkey",),
     "lineitem": ("l_orderkey", "l_linenumber"), "events": ("event_id",),
     "documents": ("doc_id",), "embeddings": ("vec_id",), "labels": ("doc_id",),
-    "conversations": ("conv_id", "turn"),
+    "conversations": ("conv_id", "turn"), "pages": ("page_id",), "benchmark": ("item_id",),
 }
 FOREIGN_KEYS = (
     ("lineitem", ("l_orderkey",), "orders", ("o_orderkey",)),
