@@ -168,6 +168,21 @@ def _text_functions(t: Tables) -> DataFrame:
         date_like("text").alias("date_like"), plain_sql(c("lang")).alias("plain"))
 
 
+# Statement texts of all kinds that the audit tells apart; {} is the event's type.
+STATEMENTS = (
+    "SELECT * FROM {}", "with x as (select 1 as a) select a from x join {} on 1 = 1", "DELETE FROM {}",
+    "SELECT * FROM {}; DROP TABLE {}", "SELECT xp_run FROM {}", "SELECT a -- the {}\n  FROM {}",
+    "SELECT /* of\n {} */ a  FROM {}", "SELECT a FROM {} UNION SELECT a FROM other", "SELECT a FROM {}; SELECT 2", " \n ",
+)
+
+
+def _statements(t: Tables) -> DataFrame:
+    """A log of statements: every event asks for its type in one of the forms above."""
+    forms = F.array(*[F.lit(x) for x in STATEMENTS])
+    form = F.element_at(forms, (F.pmod("event_id", F.lit(len(STATEMENTS))) + 1).cast("int"))
+    return t.events.select("event_id", F.replace(form, F.lit("{}"), F.coalesce("event_type", F.lit(""))).alias("sql"))
+
+
 def _date_functions(t: Tables) -> DataFrame:
     return t.orders.groupBy("o_custkey").agg(F.max("o_orderdate").alias("at")).select(
         "o_custkey", stamp("at").alias("moment"), stamp("at", False).alias("day"))
@@ -217,6 +232,9 @@ JOB_QUERIES: dict[str, Query] = {
     # query log
     "sql_audit": lambda t: log.sql_audit(t.documents, "text"),
     "table_usage": lambda t: log.table_usage(t.documents, "text"),
+    "statement_audit": lambda t: log.sql_audit(_statements(t), "sql"),
+    "statement_usage": lambda t: log.table_usage(_statements(t), "sql"),
+    "statement_texts": lambda t: _statements(t).groupBy(plain_sql("sql").alias("plain")).agg(F.count("*").alias("statements")),
     "question_complexity": lambda t: log.complexity(_questions(t), "question").drop("question", "query_id"),
     "tier_shares": lambda t: log.tier_shares(log.complexity(_questions(t), "question")),
     "intent_flags": lambda t: _questions(t).select(

@@ -245,6 +245,63 @@ SELECT o_custkey, strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') AS moment,
 }
 
 
+_FORMS = (
+    "'SELECT * FROM ' || e", "'with x as (select 1 as a) select a from x join ' || e || ' on 1 = 1'", "'DELETE FROM ' || e",
+    "'SELECT * FROM ' || e || '; DROP TABLE ' || e", "'SELECT xp_run FROM ' || e",
+    "'SELECT a -- the ' || e || chr(10) || '  FROM ' || e", "'SELECT /* of' || chr(10) || ' ' || e || ' */ a  FROM ' || e",
+    "'SELECT a FROM ' || e || ' UNION SELECT a FROM other'", "'SELECT a FROM ' || e || '; SELECT 2'", "' ' || chr(10) || ' '")
+_STATEMENTS = ("SELECT CASE event_id % 10 " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(_FORMS))
+               + " END AS text FROM (SELECT event_id, coalesce(event_type, '') AS e FROM events)")
+_STATEMENT_JOBS = {
+    "statement_audit": f"""
+SELECT {_VERDICT} AS verdict, count(*) AS statements
+FROM (SELECT {_strip('upper(text)')} AS u FROM ({_STATEMENTS})) GROUP BY 1""",
+    "statement_usage": rf"""
+SELECT table_name, count(*) AS statements FROM (
+  SELECT unnest(list_distinct(regexp_extract_all(upper(text), '\b(?:FROM|JOIN)\s+(\w+)', 1))) AS table_name
+  FROM ({_STATEMENTS})) GROUP BY 1""",
+    "statement_texts": rf"""
+SELECT trim(regexp_replace(regexp_replace(regexp_replace(text, '--[^\n]*', '', 'g'), '(?s)/\*.*?\*/', '', 'g'), '\s+', ' ', 'g')) AS plain,
+       count(*) AS statements FROM ({_STATEMENTS}) GROUP BY 1""",
+}
+
+
+# the categories again: words of the table's name, else what its columns hold
+def _holds(text: str, words) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
+def _means(label: str) -> str:
+    return _holds("cols", D.FIELD_MEANINGS[label])
+
+
+_CATEGORIES = f"""
+SELECT table_name, CASE {' '.join(f"WHEN {_holds('lower(table_name)', words)} THEN '{label}'" for label, words in D.CATEGORIES)}
+  WHEN {_means('importes y precios')} AND {_means('fechas y tiempos')} THEN 'TRANSACCIONES'
+  WHEN {_means('nombres y descripciones')} AND k <= 10 THEN 'CATALOGOS' ELSE 'OTROS' END AS category
+FROM (SELECT table_name, string_agg(lower(name), ' ') AS cols, count(*) AS k FROM ({_COLUMNS}) GROUP BY 1)"""
+_REFERENCES = ", ".join(f"('{a}', '{b}', {n})" for n, (a, _, b, _) in enumerate(FOREIGN_KEYS))
+_CATALOG_JOBS = {
+    "category_index": f"SELECT category, count(*) AS tables FROM ({_CATEGORIES}) GROUP BY 1",
+    "extraction_check": f"""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY place) AS n FROM (VALUES {_REFERENCES}) v(src, dst, place)),
+few AS (SELECT src || ' -> ' || dst AS line FROM r WHERE n <= 3 ORDER BY src, n LIMIT 10)
+SELECT (SELECT count(*) FROM ({_COUNTS})) AS total_tables, (SELECT count(DISTINCT src) FROM r) AS tables_with_foreign_keys,
+       (SELECT count(*) FROM r) AS total_foreign_keys, (SELECT string_agg(line, '; ' ORDER BY line) FROM few) AS examples""",
+    "expand_related": f"""
+WITH h AS (SELECT table_name, least(log10(sum(rows) + 1) / 6, 1.0) AS score FROM ({_JOBS['fk_integrity']}) GROUP BY 1),
+best AS (SELECT *, row_number() OVER (ORDER BY score DESC, table_name) AS n FROM h QUALIFY n <= 3),
+e AS (SELECT * FROM (VALUES {_EDGES}) v(src, dst)),
+near AS (SELECT table_name, related, min(side) AS side FROM (
+  SELECT src AS table_name, dst AS related, 0 AS side FROM e UNION ALL SELECT dst, src, 1 FROM e WHERE src <> dst) GROUP BY 1, 2),
+x AS (SELECT r.related AS name, b.score * 0.75 AS score, b.n, row_number() OVER (PARTITION BY b.n ORDER BY side, r.related) AS m
+      FROM best b JOIN near r ON r.table_name = b.table_name QUALIFY m <= 5),
+ways AS (SELECT table_name AS name, score, false AS related, 0 AS n, 0 AS m FROM h UNION ALL SELECT name, score, true, n, m FROM x)
+SELECT name AS table_name, round(score, 6) AS score, related FROM ways
+QUALIFY row_number() OVER (PARTITION BY name ORDER BY n, m) = 1""",
+}
+
+
 def jobs_sql() -> dict[str, str]:
     reported = sales_sql()["sales_by_customer"]
-    return {**_JOBS, "report_csv": reported, "report_json": reported}
+    return {**_JOBS, **_STATEMENT_JOBS, **_CATALOG_JOBS, "report_csv": reported, "report_json": reported}
