@@ -149,9 +149,15 @@ def profile(df: DataFrame) -> DataFrame:
     )
 
 
+def _short(df: DataFrame) -> DataFrame:
+    """``df`` with 256-bit digests in place of its texts: grouping keys of a fixed size."""
+    return df.select(*[F.sha2(c(f"`{f.name}`"), 256).alias(f.name) if isinstance(f.dataType, T.StringType) else c(f"`{f.name}`")
+                       for f in df.schema.fields])
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier one over all columns (PRF-6, SET-4)."""
-    same = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
+    same = _short(df).groupBy(*df.columns).agg(F.count("*").alias("_n"))
     return same.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
                     F.coalesce(F.sum(c("_n") - 1), F.lit(0)).alias("duplicates"))
 
@@ -159,7 +165,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 def summary(df: DataFrame) -> DataFrame:
     """Completeness, duplicates, number of numeric and text columns (PRF-5, PRF-6)."""
     nulls = reduce(lambda a, b: a + b, [c(n).isNull().cast("long") for n in df.columns])
-    same = df.groupBy(*df.columns).agg(F.count("*").alias("_n"), F.sum(nulls).alias("_nulls"))
+    same = _short(df).groupBy(*df.columns).agg(F.count("*").alias("_n"), F.sum(nulls).alias("_nulls"))
     width = len(df.columns)
     totals = same.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
                       F.coalesce(F.sum(c("_n") - 1), F.lit(0)).alias("duplicates"),

@@ -582,7 +582,7 @@ def bought_now_not_before(t: Tables) -> DataFrame:
     )
 
 
-def top_product_of_top_customers(t: Tables, lo: Bound, hi: Bound, k: int = 10) -> DataFrame:
+def top_product_of_top_customers(t: Tables, lo: Bound = None, hi: Bound = None, k: int = 10) -> DataFrame:
     """BQ-34: the article each of the best customers buys most."""
     best = top_customers(t, lo, hi, k).select("customer_id", "customer", "amount")
     docs = sale_docs(t, lo, hi).join(F.broadcast(best), "customer_id")
@@ -609,7 +609,8 @@ def zone_big_buyers(t: Tables, zone: str, amount: float, lo: Bound, hi: Bound) -
         t.customers.join(t.zones.where(c("zone") == zone), "nation_id")
         .select("customer_id", "customer")
     )
-    lines = sale_lines(t, lo, hi).join(in_zone, "customer_id")
+    docs = sale_docs(t, lo, hi).join(in_zone, "customer_id")
+    lines = docs.join(t.lines.where(positive("units", "net")), "doc_id")
     by_article = lines.groupBy("customer_id", "customer", "article_id").agg(
         total("net").alias("amount"), total("units").alias("units"))
     best = F.max(F.struct("units", (-c("article_id")).alias("rest"), "article_id"))
@@ -619,11 +620,12 @@ def zone_big_buyers(t: Tables, zone: str, amount: float, lo: Bound, hi: Bound) -
         .where(c("amount") > amount)
         .select("customer_id", "customer", "amount", c("best.article_id").alias("article_id"))
     )
-    docs = (
-        doc_sales(t, lo, hi).groupBy("customer_id").agg(F.count("*").alias("documents"))
+    counted = (
+        lines.select("customer_id", "doc_id").distinct()
+        .groupBy("customer_id").agg(F.count("*").alias("documents"))
     )
     return (
-        buyers.join(docs, "customer_id")
+        buyers.join(counted, "customer_id")
         .join(t.articles.select("article_id", c("article").alias("top_article")), "article_id")
     )
 
@@ -778,14 +780,15 @@ def multi_criteria_articles(t: Tables, line: str, stock: float, price: float, sa
     """BQ-45: articles of a line above a stock, a price and a number of sales."""
     since = F.add_months(t.as_of(), -months)
     wanted = t.articles.where(c("line") == line).select("article_id", "article")
+    # every aggregate starts from the lines of the wanted articles only
+    only = lambda df: df.join(wanted.select("article_id"), "article_id", "left_semi")
     often = (
-        sale_lines(t, since).join(wanted.select("article_id"), "article_id", "left_semi")
-        .groupBy("article_id").agg(F.count("*").alias("sales")).where(c("sales") > sales)
+        only(sale_lines(t, since)).groupBy("article_id").agg(F.count("*").alias("sales")).where(c("sales") > sales)
     )
     return (
         wanted.join(often, "article_id")
-        .join(t.stock_by_article.where(c("stock") > stock), "article_id")
-        .join(_priced(t).where(c("price") > price), "article_id")
+        .join(only(t.stock_by_article).where(c("stock") > stock), "article_id")
+        .join(only(_priced(t)).where(c("price") > price), "article_id")
         .select("article_id", "article", "sales", "stock", "price")
     )
 

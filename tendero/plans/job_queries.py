@@ -154,7 +154,7 @@ def _stream_export(t: Tables) -> DataFrame:
 
 def _report(fmt: str) -> Query:
     def run(t: Tables) -> DataFrame:
-        result = sales_by_customer(t, "2001-01-01")
+        result = sales_by_customer(t)
         path = f"{_work(t)}/data"
         reports.export(result, path, fmt)
         reader = t.spark.read.schema(result.schema)

@@ -303,5 +303,5 @@ QUALIFY row_number() OVER (PARTITION BY name ORDER BY n, m) = 1""",
 
 
 def jobs_sql() -> dict[str, str]:
-    reported = sales_sql()["sales_by_customer"]
+    reported = sales_sql()["sales_by_customer"].replace(" AND day >= DATE '2001-01-01'", "")
     return {**_JOBS, **_STATEMENT_JOBS, **_CATALOG_JOBS, "report_csv": reported, "report_json": reported}

@@ -252,10 +252,10 @@ WHERE day >= (SELECT date_trunc('month', d) FROM today)
           AND day < (SELECT date_trunc('month', d) FROM today))
 GROUP BY h.customer_id, customer""",
     "top_product_of_top_customers": f"""
-, best AS ({_TOP_CUSTOMERS.replace('@when', _YEAR).replace('@k', '10')}),
+, best AS ({_TOP_CUSTOMERS.replace('@when', 'TRUE').replace('@k', '10')}),
 f AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY units DESC, article_id) AS n
       FROM (SELECT s.customer_id, article_id, sum(units) AS units
-            FROM s SEMI JOIN best ON best.customer_id = s.customer_id WHERE {_YEAR} GROUP BY ALL))
+            FROM s SEMI JOIN best ON best.customer_id = s.customer_id GROUP BY ALL))
 SELECT f.article_id, f.customer_id, customer, best.amount AS amount, {_d('units')} AS units, article
 FROM f JOIN best ON best.customer_id = f.customer_id JOIN a ON a.article_id = f.article_id WHERE n = 1""",
     "inactive_customers": """
