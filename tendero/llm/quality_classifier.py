@@ -137,8 +137,11 @@ def remainder(id_col: str, parts: int):
 
 def fit(docs: DataFrame, labels: DataFrame, *, folds: int = 5, sample: int = 20_000, bits: int = 18) -> np.ndarray:
     """Weights learnt from the labelled rows of ``docs`` outside fold 0."""
-    known = labels.select("doc_id", F.col("quality").alias("label")).where(remainder("doc_id", folds) != 0)
-    return train(docs.select("doc_id", "text").where(remainder("doc_id", folds) != 0).join(known, "doc_id"), sample=sample, bits=bits)
+    known = labels.select("doc_id", F.col("quality").alias("label")).where(remainder("doc_id", folds) != 0).where("label is not null")
+    # the sample is chosen by ids alone and has a fixed size: no text is shuffled to meet its label
+    chosen = (known.join(docs.select("doc_id"), "doc_id", "left_semi")
+              .orderBy(F.xxhash64("doc_id"), "doc_id", F.col("label").cast("double")).limit(sample))
+    return train(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), sample=sample, bits=bits)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, *, folds: int = 5, threshold: float = 0.3,
