@@ -2,18 +2,19 @@
 
 Counts c of words and word pairs are stored as levels 1 + floor(log_b c). An n-gram of
 level q enters the filter q times, as (n-gram, 1) ... (n-gram, q); asking for (n-gram, 1),
-(n-gram, 2), ... until one is missing gives the level back, never too low. The filter is
-broadcast; a token's probability mixes the pair's share of its first word's count with the
-smoothed share of the word alone, all from such probes.
+(n-gram, 2), ... until one is missing gives the level back, never too low. A token's
+probability mixes the pair's share of its first word's count with the smoothed share of the
+word alone, all from such probes.
 
 Texts become *blocks* once: the different words of some megabytes of text, and every
 token as a place in that list. Counting moves per block one entry for each different
 n-gram, packed by ranges of hashes, so a frequent word costs as much as a rare one, and
 sums of a range are exact. Exact counts come back to the blocks the same way, for the base
-score. Ranges also are the parts of the filter: each is filled by one task.
+score.
 
-The filter has ``BITS`` bits for every entry, up to ``max_bytes`` in all: beyond it no
-n-gram is left out, only more probes hit by chance.
+Ranges also are the parts of the filter: the task that fills a part asks it for every n-gram
+of its range, held-out ones too, and sends each block its levels. The filter has ``BITS``
+bits for every entry whatever the size of the corpus, and no process holds more than a part.
 
 Rows: null and empty texts are one end token; null ids are not trained on and count as
 held out; repeated rows are counted and scored one by one; long texts are taken whole;
@@ -41,7 +42,7 @@ LEVELS = 80
 WEIGHT = 0.3  # share of the pair in a token's probability
 END = np.uint64(0x5851F42D4C957F2D)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_BLOCKS = ("block long, ids array<long>, held array<boolean>, edges binary, tokens binary, words binary, counts binary, pairs long")
+_BLOCKS = ("block long, ids array<long>, held array<boolean>, edges binary, tokens binary, words binary, counts binary, n long")
 
 
 def _blocks(batches):
@@ -62,10 +63,10 @@ def _blocks(batches):
             counts = np.bincount(place[train], minlength=len(words)).astype(np.int64)
             columns = [[uuid.uuid4().int >> 65], [batch.column(0).slice(first, n).to_pylist()], [held.to_pylist()],
                        *([x] for x in (edges.astype(np.int64).tobytes(), pack.compress(place.astype(np.int32).tobytes()), words.tobytes(), counts.tobytes())),
-                       [int(train.sum())]]
+                       [len(tokens)]]
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                             ["block", "ids", "held", "edges", "tokens", "words", "counts", "pairs"])
+                                             ["block", "ids", "held", "edges", "tokens", "words", "counts", "n"])
 
 
 class Block:
@@ -84,6 +85,13 @@ class Block:
         w = self.words[self.tokens]
         return W.mix(np.concatenate((w[:1], w[:-1])) * _STEP + w)
 
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """All n-grams sorted, their order (different pairs, then words), each pair's place, the number of pairs."""
+        pair, place = np.unique(self.pairs()[~self.first], return_inverse=True)
+        hashes = np.concatenate((pair, single(self.words)))
+        order = np.argsort(hashes, kind="stable")
+        return hashes[order], order, place, len(pair)
+
 
 def single(words: np.ndarray) -> np.ndarray:
     """The n-gram hashes of words alone."""
@@ -104,13 +112,9 @@ def _packed(kind: str, bits: int):
                 if kind == "words":
                     hashes, counts = block.words, block.counts
                 else:
-                    train = np.repeat(~block.held, np.diff(block.edges)) & ~block.first
-                    pair, n = np.unique(block.pairs()[train], return_counts=True)
-                    known = block.counts > 0
-                    hashes = np.concatenate((pair, single(block.words[known])))
-                    counts = np.concatenate((n, block.counts[known]))
-                    order = np.argsort(hashes)
-                    hashes, counts = hashes[order], counts[order]
+                    hashes, order, place, n = block.grams()
+                    train = np.repeat(~block.held, np.diff(block.edges))[~block.first]
+                    counts = np.concatenate((np.bincount(place[train], minlength=n), block.counts))[order]
                 cut = _ranges(hashes, bits)
                 parts = [(k, row["block"], hashes[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
                 for at in range(0, len(parts), 64):
@@ -156,21 +160,35 @@ def _places(hashes: np.ndarray, level, probe: int, size):
     return (h + np.uint64(probe) * (W.mix(h) | np.uint64(1))) % size
 
 
+def _part(hashes: np.ndarray, sums: np.ndarray, bits_each: float) -> bytes:
+    level = levels(sums)
+    size = max(64, int(level.sum() * bits_each)) // 8 * 8 + 8
+    part = np.zeros(size, np.uint8)
+    for q in range(1, int(level.max(initial=0)) + 1):
+        some = hashes[level >= q]
+        for k in range(PROBES):
+            part[_places(some, q, k, np.uint64(size))] = 1
+    return np.packbits(part, bitorder="little").tobytes()
+
+
 def _filled(bits_each: float):
     """One range's part of the filter."""
     def run(table: pa.Table) -> pa.Table:
         _, _, hashes, sums = _summed(table)
-        level = levels(sums)
-        size = max(64, int(level.sum() * bits_each)) // 8 * 8 + 8
-        part = np.zeros(size, np.uint8)
-        for q in range(1, int(level.max()) + 1):
-            some = hashes[level >= q]
-            for k in range(PROBES):
-                part[_places(some, q, k, np.uint64(size))] = 1
-        return pa.table({"range": table["range"][:1], "bits": pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary())})
+        known = sums > 0
+        return pa.table({"range": table["range"][:1], "bits": pa.array([_part(hashes[known], sums[known], bits_each)], pa.binary())})
     return run
 
 
+def _levels(table: pa.Table) -> pa.Table:
+    """The filter's levels of each block's n-grams of a range."""
+    hashes, inverse, unique, sums = _summed(table)
+    known = sums > 0
+    level = Filter({0: _part(unique[known], sums[known], BITS)}, 0).level(unique).astype(np.uint8)[inverse]
+    edges = np.concatenate(([0], np.cumsum([len(h) for h in hashes])))
+    return pa.table({"range": table["range"], "block": table["block"], "levels": pa.array([level[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary())})
+
+
 class Filter:
     """All parts of the filter; ``level`` asks for many n-grams at once."""
 
@@ -196,20 +214,23 @@ class Filter:
         return out
 
 
-def _scores(shared, tokens: int, distinct: int, weight: float):
+def _scores(tokens: int, distinct: int, weight: float):
     total = tokens + 0.1 * (distinct + 1)
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         block = Block(row)
-        exact = np.concatenate([np.frombuffer(x, np.int64) for x in right.sort_by("range")["counts"].to_pylist()])
-        model: Filter = shared.value
+        right = right.sort_by("range")
+        exact, level = (np.frombuffer(b"".join(x for x in right[c].to_pylist() if x is not None), kind) for c, kind in (("counts", np.int64), ("levels", np.uint8)))
+        _, order, place, n = block.grams()
+        value = np.empty(len(order))
+        value[order] = VALUE[level]
         lengths = np.diff(block.edges)
         base = np.log10((exact + 0.1) / total)
-        seen = VALUE[model.level(single(block.words))]
+        seen = value[n:]
         alone = (seen + 0.1) / total
-        pair, place = np.unique(block.pairs(), return_inverse=True)
-        both = VALUE[model.level(pair)][place]
+        both = np.zeros(len(block.tokens))
+        both[~block.first] = value[:n][place]
         before = np.concatenate((block.tokens[:1], block.tokens[:-1]))
         share = both / np.maximum(np.maximum(seen[before], both), 1.0)
         p = np.where(block.first, alone[block.tokens], weight * share + (1 - weight) * alone[block.tokens])
@@ -225,23 +246,19 @@ def _bits(entries: int) -> int:
     return max(0, int(np.ceil(np.log2(max(1, entries / RANGE_ENTRIES)))))
 
 
-def lm_scores(docs: DataFrame, *, folds: int = 10, weight: float = WEIGHT, max_bytes: int = 1 << 28,
-              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, *, folds: int = 10, weight: float = WEIGHT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), (remainder(id_col, folds) == 0).alias("held"), F.col(text_col).alias("text"))
     blocks = stored(texts.mapInArrow(_blocks, _BLOCKS), "blocks")
-    facts = blocks.agg(F.sum(F.length("words") / 8).alias("words"), F.sum("pairs").alias("pairs")).first()
+    facts = blocks.agg(F.sum(F.length("words") / 8).alias("words"), F.sum("n").alias("n")).first()
     if facts["words"] is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    word_bits, gram_bits = _bits(int(facts["words"])), _bits(int(facts["pairs"] + facts["words"]))
+    word_bits, gram_bits = _bits(int(facts["words"])), _bits(int(facts["n"] + facts["words"]))
     answers = stored(blocks.mapInArrow(_packed("words", word_bits), _PACKED).groupBy("range").applyInArrow(
         _answers, "range int, block long, counts binary, distinct long, tokens long"), "answers")
     totals = answers.agg(F.sum("distinct").alias("v"), F.sum("tokens").alias("n")).first()
-    grams = blocks.mapInArrow(_packed("grams", gram_bits), _PACKED).groupBy("range")
-    # a level is never above its count, so twice the training tokens bound the entries, and max_bytes the filter
-    bits_each = min(BITS, 8 * max_bytes / max(1, 2 * facts["pairs"]))
-    parts = {r["range"]: bytes(r["bits"]) for r in stored(grams.applyInArrow(_filled(bits_each), "range int, bits binary"), "filter").collect()}
-    shared = docs.sparkSession.sparkContext.broadcast(Filter(parts, gram_bits))
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _scores(shared, int(totals["n"]), int(totals["v"]), weight),
+    grams = blocks.mapInArrow(_packed("grams", gram_bits), _PACKED).groupBy("range").applyInArrow(_levels, "range int, block long, levels binary")
+    facts_of = answers.select("range", "block", "counts").unionByName(grams, allowMissingColumns=True)
+    return blocks.groupBy("block").cogroup(facts_of.groupBy("block")).applyInArrow(
+        _scores(int(totals["n"]), int(totals["v"]), weight),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -302,6 +302,28 @@ def test_language_model(docs, nothing, rows):
     assert lm_scoring.lm_scores(nothing).count() == 0
 
 
+def test_every_range_has_a_whole_filter_and_no_process_the_whole_one(docs, rows, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "Filter", None)  # in this process: tasks have their own
+    monkeypatch.setattr(lm_scoring, "RANGE_ENTRIES", 500)
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
+    single, pair = Counter(), Counter()
+    for i, t, *_ in rows:
+        if not held(i):
+            w = [*words(t), None]
+            single.update(w)
+            pair.update(zip(w, w[1:]))
+    total, text = sum(single.values()) + 0.1 * (len(single) + 1), {r[0]: r[1] for r in rows}
+    value = lambda n: lm_scoring.VALUE[lm_scoring.levels(np.array([n]))[0]] if n else 0.0
+    off = []
+    for r in lm_scoring.lm_scores(docs).collect():
+        w = [*words(text[r.doc_id]), None]
+        alone = [(value(single[x]) + 0.1) / total for x in w]
+        both = [value(pair[x]) for x in zip(w, w[1:])]
+        p = alone[:1] + [0.3 * b / max(value(single[x]), b, 1.0) + 0.7 * a for x, b, a in zip(w, both, alone[1:])]
+        off.append(abs(r.score - np.log10(p).sum()) / len(w))
+    assert max(off) < 0.5 and np.mean(off) < 0.1
+
+
 def test_filter_never_gives_a_level_too_low():
     hashes = np.sort(W.mix(np.arange(5000, dtype=np.uint64)))
     counts = np.random.default_rng(2).zipf(1.5, 5000).clip(1, 10**6)
