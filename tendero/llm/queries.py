@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendero.llm import (decontamination, lm_scoring, near_duplicates, quality_classifier, quality_rules, secrets, sentencepiece_bpe,
-                         sharding, substring_dedup, token_files)
+from tendero.llm import (conversation_repair, decontamination, lm_scoring, near_duplicates, quality_classifier, quality_rules,
+                         ranked_search, scaled_sketch, secrets, sentencepiece_bpe, sharding, substring_dedup, token_files)
 from tendero.session import checkpoint_dir
 
 
@@ -71,7 +71,23 @@ def op10_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"), width=3, similarity="0.85", bands=25, band=5)
 
 
+def op11_hirschberg_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after damage, its cheapest edits and a digest of the repaired rows."""
+    return conversation_repair.repaired_after_damage(_table(spark, sf_dir, "conversations"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranked_search.search(ranked_search.build(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document, of its edited text, and how alike they are."""
+    return scaled_sketch.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_files, op2_secret_scan, op3_benchmark_decontamination, op4_sentencepiece, op5_robust_quality_rules,
-    op6_quality_classifier, op7_rendezvous_shards, op8_compact_windows, op9_bloom_lm, op10_minhash_groups)}
-SQL = {"op7_rendezvous_shards": sharding.numbered_sql(8)}
+    op6_quality_classifier, op7_rendezvous_shards, op8_compact_windows, op9_bloom_lm, op10_minhash_groups, op11_hirschberg_repair, op12_ranked_search,
+    op13_scaled_sketch)}
+SQL = {"op7_rendezvous_shards": sharding.numbered_sql(8), "op12_ranked_search": ranked_search.SQL}
