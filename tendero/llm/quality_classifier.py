@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from tendero.llm import words as W
 
 SHAPE_WEIGHT = 4.0
+FEATURE_BYTES = 1_000_000  # bytes of text whose features are held at a time: some 60 bytes of arrays for each
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[48:58], _SHAPE[65:91], _SHAPE[97:123], _SHAPE[128:] = 48, 65, 97, 97
 
@@ -64,6 +65,28 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int):
     return index.astype(np.int64), row, np.concatenate([p[2] for p in parts])
 
 
+class Examples:
+    """Sparse rows end to end in two flat arrays, which go back to the system as a whole."""
+
+    def __init__(self):
+        self.index, self.value = np.zeros(1 << 20, np.int32), np.zeros(1 << 20, np.float32)
+        self.edges, self.labels = [0], []
+
+    def add(self, index: np.ndarray, value: np.ndarray, label: float) -> None:
+        at, end = self.edges[-1], self.edges[-1] + len(index)
+        if end > len(self.index):
+            room = max(end, 2 * len(self.index)) - len(self.index)
+            self.index, self.value = (np.concatenate((x, np.zeros(room, x.dtype))) for x in (self.index, self.value))
+        self.index[at:end], self.value[at:end] = index, value
+        self.edges.append(end)
+        self.labels.append(label)
+
+    def __iter__(self):
+        for k, label in enumerate(self.labels):
+            part = slice(self.edges[k], self.edges[k + 1])
+            yield self.index[part], self.value[part], label
+
+
 def ftrl(examples, bits: int, *, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.05, l2: float = 0.05,
          epochs: int = 3) -> np.ndarray:
     """Weights (the last one is the bias) learnt from a list of (index, value, label)."""
@@ -83,10 +106,10 @@ def ftrl(examples, bits: int, *, alpha: float = 0.3, beta: float = 1.0, l1: floa
 
 def _trainer(bits: int):
     def run(batches):
-        examples = []
+        examples = Examples()
         for batch in batches:
             labels = batch.column(1).to_numpy()
-            for at, end, data, offsets in W.slices(batch.column(0)):
+            for at, end, data, offsets in W.slices(batch.column(0), FEATURE_BYTES):
                 index, row, value = features(data, offsets, bits)
                 order = np.argsort(row, kind="stable")
                 index, row, value = index[order], row[order], value[order]
@@ -94,10 +117,11 @@ def _trainer(bits: int):
                 for k in range(end - at):
                     i, v = index[edges[k]:edges[k + 1]], value[edges[k]:edges[k + 1]]
                     unique, inverse = np.unique(i, return_inverse=True)
-                    examples.append((np.append(unique, 1 << bits).astype(np.int32),
-                                     np.append(np.bincount(inverse, v, len(unique)), 1.0).astype(np.float32), labels[at + k]))
-        if examples:
-            yield pa.RecordBatch.from_arrays([pa.array([ftrl(examples, bits).tobytes()], pa.binary())], ["weights"])
+                    examples.add(np.append(unique, 1 << bits), np.append(np.bincount(inverse, v, len(unique)), 1.0), labels[at + k])
+        if examples.labels:
+            weights = ftrl(examples, bits).tobytes()
+            del examples
+            yield pa.RecordBatch.from_arrays([pa.array([weights], pa.binary())], ["weights"])
     return run
 
 
@@ -120,7 +144,7 @@ def score(docs: DataFrame, weights: np.ndarray, *, text_col: str = "text", score
     def run(batches):
         w = shared.value.astype(np.float64)
         for batch in batches:
-            for at, end, data, offsets in W.slices(batch.column(place)):
+            for at, end, data, offsets in W.slices(batch.column(place), FEATURE_BYTES):
                 index, row, value = features(data, offsets, bits)
                 dot = np.bincount(row, w[index] * value, end - at) + w[-1]
                 part = batch.slice(at, end - at)

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import re
 import zlib
 from collections import Counter
@@ -118,6 +119,30 @@ def test_near_duplicates_of_a_dense_group(spark):
     assert len(set(comp)) > 1 and {x.doc_id: x.component_id for x in got} == dict(enumerate(comp))
 
 
+def test_ftrl_equals_a_plain_loop():
+    r = np.random.default_rng(4)
+    flat, plain = quality_classifier.Examples(), []
+    for k in range(200):
+        index = np.unique(np.append(r.integers(0, 64, 5), 64))
+        value = r.random(len(index)).astype(np.float32)
+        plain.append((index.tolist(), value.tolist(), float(k % 2)))
+        flat.add(index, value, float(k % 2))
+    alpha, beta, l1, l2, z, n = 0.3, 1.0, 0.05, 0.05, [0.0] * 65, [0.0] * 65
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else (math.copysign(l1, z[i]) - z[i]) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(3):
+        for index, value, label in plain:
+            w = [weight(i) for i in index]
+            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, value))))
+            for i, v, old in zip(index, value, w):
+                g = (p - label) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * old
+                n[i] += g * g
+    assert quality_classifier.ftrl(flat, 6) == pytest.approx([weight(i) for i in range(65)], abs=1e-5)
+
+
 def test_quality_classifier(spark, docs, nothing):
     larger = DATA.replace("sf0.001", "sf0.01")  # the smallest tables have 19 held-out labels only
     table, labels = spark.read.parquet(f"{larger}/documents.parquet"), spark.read.parquet(f"{larger}/labels.parquet")
@@ -343,4 +368,4 @@ def test_pipeline_keeps_what_each_stage_must_keep(spark):
             assert docs.columns == before.columns and docs.count() > 0
     empty = corpus_pipeline.encode(spark, before.limit(0), DATA)
     assert empty.count() == 0 and docs.count() == before.count()
-    assert len([q for q in QUERIES if q.startswith("op")]) == 10
+    assert len([q for q in QUERIES if q.startswith("op")]) == 13
