@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,8 +19,9 @@ from pyspark.sql import types as T
 from tendero import dictionaries as D
 from tendero.functions.columns import volume_label
 from tendero.functions.predicates import any_of
-from tendero.operators.profiling import table_stats
+from tendero.operators.profiling import freshness, table_stats
 from tendero.operators.reads import sample_rows
+from tendero.sources.snapshots import SnapshotTable
 
 c = F.col
 
@@ -279,6 +281,35 @@ def full_descriptions(tagged: DataFrame, samples: DataFrame) -> DataFrame:
 
 # --- metadata over time ---------------------------------------------------------------
 
+def described_tables(spark: SparkSession, tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]], edges) -> DataFrame:
+    """The tagged catalog with samples and descriptions: one row per table, made from its data."""
+    tagged = tag_tables(table_catalog(spark, tables, keys, edges))
+    return full_descriptions(tagged, sample_descriptions(tables, keys))
+
+
+def refresh_catalog(store: SnapshotTable | str, spark: SparkSession, tables: Mapping[str, DataFrame],
+                    keys: Mapping[str, Sequence[str]], edges, as_of: datetime, ttl_hours: float = 12, force: bool = False) -> SnapshotTable:
+    """Brings a stored catalog up to date (SRC-14, CAT-16, PRF-15) and returns it.
+
+    Tables that are new, or whose count is older than its time to live, are read and described
+    again; those that are gone get a tombstone; all others are not touched. A run that dies leaves the
+    catalog as it was. What is read back before is one short row per table.
+    """
+    def work(names) -> DataFrame:
+        return described_tables(spark, {n: tables[n] for n in names}, keys, edges).withColumn("counted_at", F.lit(as_of).cast("timestamp"))
+
+    if isinstance(store, str):
+        store = SnapshotTable.create(spark, store, work(list(tables)[:1]).schema, ["table_name"])
+    known = {r["table_name"]: r["stale"] for r in freshness(store.read().select("table_name", "counted_at"), F.lit(as_of), ttl_hours)
+             .select("table_name", "stale").collect()}
+    todo = [n for n in tables if force or known.get(n, True)]
+    if todo:
+        store.upsert(work(todo))
+    if gone := sorted(set(known) - set(tables)):
+        store.delete(spark.createDataFrame([(n,) for n in gone], "table_name string"))
+    return store
+
+
 def merge_metadata(existing: DataFrame, analysis: DataFrame, most: int = 25) -> DataFrame:
     """New analysis over stored metadata (CAT-16).
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,10 +16,12 @@ from tendero.operators import catalog as cat
 from tendero.operators import conversations as cnv
 from tendero.operators import profiling as prf
 from tendero.operators import querylog as log
+from tendero.operators import references as refs
 from tendero.operators import reports
 from tendero.operators import retrieval as ret
 from tendero.operators.ranking import latest_per_key
 from tendero.operators.sales import sales_by_customer
+from tendero.operators.vector_index import VectorIndex
 from tendero.session import checkpoint_dir, stored
 from tendero.sources.tables import FOREIGN_KEYS, PRIMARY_KEYS, Tables
 from tendero.streaming import state
@@ -49,6 +52,32 @@ def _edges(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(src, dst) for src, _, dst, _ in FOREIGN_KEYS], "src string, dst string")
 
 
+def _found_edges(t: Tables) -> DataFrame:
+    """The references that the stored rows show."""
+    found = refs.found_references(_all(t))
+    return found.select(c("table_name").alias("src"), c("referenced_table").alias("dst"))
+
+
+def _refreshed(t: Tables) -> DataFrame:
+    """A stored catalog after a refresh: some counts were fresh, most were stale, one table is gone.
+
+    It held counts of thirty days ago; an hour ago events and orders were counted, when the last day
+    of events and the last year of orders were not there yet.
+    """
+    as_of = _events_end(t)
+    year = t.orders.agg(F.max(F.year("o_orderdate")).alias("y")).first()["y"]
+    before = {"events": t.events.where(c("ts") < as_of - timedelta(days=1)), "orders": t.orders.where(F.year("o_orderdate") < year)}
+    now = _all(t)
+    store = cat.refresh_catalog(_work(t), t.spark, now, PRIMARY_KEYS, FOREIGN_KEYS, as_of - timedelta(days=30))
+    store.upsert(cat.described_tables(t.spark, before, PRIMARY_KEYS, FOREIGN_KEYS).withColumn(
+        "counted_at", F.lit(as_of - timedelta(hours=1)).cast("timestamp")))
+    store.compact()
+    del now["pages"]
+    store = cat.refresh_catalog(store, t.spark, now, PRIMARY_KEYS, FOREIGN_KEYS, as_of)
+    age = (F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("counted_at")) / 3600
+    return store.read().select("table_name", "row_count", "active", age.cast("int").alias("age_hours"))
+
+
 def _rounded(df: DataFrame, *names: str, places: int = 4) -> DataFrame:
     return df.withColumns({n: F.round(n, places) for n in names})
 
@@ -59,6 +88,12 @@ def _vectors(t: Tables) -> DataFrame:
     return t.embeddings.select(c("vec_id").alias("id"), "embedding", "label")
 
 
+def _indexed_topk(t: Tables) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 100, from a stored index."""
+    index = VectorIndex.build(_vectors(t), _work(t))
+    return index.search(_vectors(t).where("id % 100 = 0").select(c("id").alias("query_id"), "embedding"), k=10).hits
+
+
 def _topk(t: Tables) -> DataFrame:
     return ret.cosine_topk(_vectors(t), ret.centroids(_vectors(t), "label"))
 
@@ -86,9 +121,15 @@ def _questions(t: Tables) -> DataFrame:
         (c("conv_id") * 1000 + c("turn")).alias("query_id"), "conv_id", "turn", c("text").alias("question"))
 
 
+def _events_end(t: Tables):
+    return t.events.agg(F.max("ts").cast("timestamp").alias("at")).first()["at"]
+
+
 def _retrieved(t: Tables) -> DataFrame:
     # texts name no table of the model here, so the floor on similarity is off
-    described = stored(_described(t), "descriptions")
+    # the catalog is read from its store: no table of the model is counted or sampled for a question
+    as_of = _events_end(t)
+    described = cat.refresh_catalog(_work(t), t.spark, _all(t), PRIMARY_KEYS, FOREIGN_KEYS, as_of).read()
     edges = stored(_edges(t), "edges")
     return ret.retrieve_tables(_questions(t).select("query_id", "question"), described, edges, threshold=0.0)
 
@@ -203,7 +244,9 @@ JOB_QUERIES: dict[str, Query] = {
     "schema_stats": lambda t: prf.schema_stats(_tagged(t)),
     "key_uniqueness": lambda t: prf.key_uniqueness(_all(t), PRIMARY_KEYS),
     "fk_integrity": lambda t: prf.fk_integrity(_all(t), FOREIGN_KEYS),
+    "found_references": lambda t: refs.inclusions(_all(t)),
     # catalog
+    "catalog_refresh": _refreshed,
     "catalog_columns": lambda t: cat.catalog_columns(_catalog(t)),
     "find_columns": lambda t: cat.find_columns(cat.catalog_columns(_catalog(t)), "key"),
     "table_tags": lambda t: _tagged(t).select(
@@ -221,7 +264,8 @@ JOB_QUERIES: dict[str, Query] = {
     # retrieval
     "vector_topk": _topk,
     "vector_rescore": _rescored,
-    "fk_neighbours": lambda t: ret.neighbours(_edges(t)).select("table_name", "related", "direction"),
+    "vector_index_topk": _indexed_topk,
+    "fk_neighbours": lambda t: ret.neighbours(_found_edges(t)).select("table_name", "related", "direction"),
     "expand_related": lambda t: ret.expand_related(_hits(t), stored(_edges(t), "edges")).select(
         "table_name", F.round("score", 6).alias("score"), "related"),
     "retrieve_tables": _retrieved,

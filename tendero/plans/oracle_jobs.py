@@ -5,6 +5,16 @@ from tendero.plans.oracle_sales import sales_sql
 from tendero.sources.tables import FOREIGN_KEYS, PRIMARY_KEYS
 
 
+# Whole-number columns of the stored tables, in which references are looked for.
+_WHOLE = {
+    "region": "r_regionkey", "nation": "n_nationkey n_regionkey", "customer": "c_custkey c_nationkey",
+    "supplier": "s_suppkey s_nationkey", "part": "p_partkey p_size", "orders": "o_orderkey o_custkey",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber", "events": "event_id user_id", "documents": "doc_id n_chars",
+    "embeddings": "vec_id label", "pages": "page_id", "benchmark": "item_id", "labels": "doc_id quality toxic",
+    "conversations": "conv_id turn",
+}
+
+
 def _quoted(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
@@ -52,6 +62,14 @@ SELECT DISTINCT i.table_name, CAST(ordinal_position - 1 AS INTEGER) AS position,
 FROM information_schema.columns i JOIN ({_COUNTS}) n ON n.table_name = i.table_name"""
 _EDGES = ", ".join(f"('{a}', '{b}')" for a, _, b, _ in FOREIGN_KEYS)
 
+_FOUND = f"""
+WITH cells AS ({_union([f"SELECT '{t}' AS t, '{n}' AS n, CAST({n} AS BIGINT) AS v, count(*) AS k FROM {t} WHERE {n} IS NOT NULL GROUP BY {n}" for t, names in _WHOLE.items() for n in names.split()])}),
+sizes AS (SELECT t, n, count(*) AS size, max(k) AS most FROM cells GROUP BY ALL),
+shared AS (SELECT a.t AS t1, a.n AS n1, b.t AS t2, b.n AS n2, count(*) AS size FROM cells a JOIN cells b ON a.v = b.v
+           WHERE a.t <> b.t OR a.n <> b.n GROUP BY ALL),
+found AS (SELECT t1 AS table_name, n1 AS "column", t2 AS referenced_table, n2 AS referenced_column, x.size AS "values", y.size AS referenced_values
+          FROM shared s JOIN sizes x ON x.t = t1 AND x.n = n1 AND x.size = s.size JOIN sizes y ON y.t = t2 AND y.n = n2 AND y.most = 1)"""
+
 _TOPK = """
 WITH cells AS (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS v,
                       generate_subscripts(embedding, 1) AS pos FROM embeddings),
@@ -165,10 +183,26 @@ SELECT query_id, id, similarity, round(greatest(0e0, least(1e0, similarity * 0.6
          least(log10(row_count + 1) / 6e0, 1e0) * 0.4e0 + 0.2e0 * 0.3e0 + 0.2e0
          + CASE WHEN n.label = query_id THEN 0.1e0 ELSE 0e0 END))), 5) AS score
 FROM r JOIN n ON n.label = r.label WHERE place <= 15""",
-    "fk_neighbours": f"""
-WITH e AS (SELECT * FROM (VALUES {_EDGES}) v(a, b))
+    "fk_neighbours": _FOUND + """,
+e AS (SELECT table_name AS a, referenced_table AS b FROM found
+      WHERE table_name <> referenced_table AND regexp_replace("column", '^[a-z]{1,2}_', '') = regexp_replace(referenced_column, '^[a-z]{1,2}_', ''))
 SELECT DISTINCT a AS table_name, b AS related, 'outgoing' AS direction FROM e
 UNION ALL SELECT DISTINCT b, a, 'incoming' FROM e WHERE (b, a) NOT IN (SELECT a, b FROM e)""",
+    "vector_index_topk": """
+WITH sims AS (SELECT q.vec_id AS query_id, e.vec_id AS id,
+                     round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity
+              FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)
+SELECT query_id, id, similarity, CAST(place AS INTEGER) AS place FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS place FROM sims WHERE similarity >= 0.30)
+WHERE place <= 10""",
+    "found_references": _FOUND + """
+SELECT table_name, "column", referenced_table, referenced_column, "values", referenced_values FROM found""",
+    "catalog_refresh": f"""
+SELECT table_name, CASE table_name
+    WHEN 'events' THEN (SELECT count(*) FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 1 DAY)
+    WHEN 'orders' THEN (SELECT count(*) FROM orders WHERE year(o_orderdate) < (SELECT max(year(o_orderdate)) FROM orders))
+    ELSE row_count END AS row_count, true AS active, CASE WHEN table_name IN ('events', 'orders') THEN 1 ELSE 0 END AS age_hours
+FROM ({_COUNTS}) WHERE table_name <> 'pages'""",
     "synonym_expand": f"""
 SELECT doc_id, CASE WHEN added = '' THEN '' ELSE ' ' || added END AS added
 FROM (SELECT doc_id, concat_ws(' ', {_SYN}) AS added FROM documents)""",
