@@ -178,7 +178,7 @@ def _stream_sessions(t: Tables) -> DataFrame:
     rows = state.stream_table(t.spark, t.root, "events").select(
         c("user_id").alias("session"), c("ts").alias("at"), c("event_id").alias("seq"),
         c("event_type").alias("role"))
-    return state.current(state.run_to_end(state.session_state(rows), _work(t), "update"), "session")
+    return state.run_sessions(rows, _work(t)).sessions
 
 
 def _stream_usage(t: Tables) -> DataFrame:

@@ -1,18 +1,24 @@
 """Structured Streaming forms of the incremental updates.
 
-State per key is a count, a maximum and the value at the maximum: all commute, so
-late rows need no watermark and none is dropped. Each micro-batch stores the rows
-it changed in a folder of its own, named by the batch: a batch that is run again
-after a failure writes the same folder.
+Session state is a keyed table with snapshots: every micro-batch merges the sessions it touches
+into it, under its own tag, so a batch that is run again after a failure changes nothing.
+Count, newest message and role commute, so late messages count wherever they belong. What the stream
+itself remembers are the messages of the last ``delay`` (the watermark), to drop repeats; older
+ones leave the state, and a message that comes later than that is refused and counted as such.
+
+Usage counters have a handful of keys; each micro-batch stores them in a folder of its own.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tendero.operators.querylog import complexity
+from tendero.sources.snapshots import SnapshotTable
 
 c = F.col
 
@@ -41,6 +47,52 @@ def session_state(messages: DataFrame) -> DataFrame:
         F.max_by("role", order).alias("last_role"))
 
 
+SESSIONS = "session long, messages long, updated_at timestamp, seq long, last_role string"
+FOLD_AFTER = 16  # deltas of the session table that are folded into a new base
+
+
+def merge_sessions(store: SnapshotTable, messages: DataFrame, tag: str | None = None) -> None:
+    """Adds messages (session, at, seq, role) to the stored sessions; only sessions of the batch are read and written."""
+    newest = F.struct(F.col("updated_at"), F.col("seq"), F.col("last_role"))
+    added = messages.groupBy("session").agg(
+        F.count("*").alias("messages"), F.max(F.struct(c("at").cast("timestamp").alias("updated_at"), c("seq").cast("long").alias("seq"), c("role").alias("last_role"))).alias("_n"))
+    added = added.select(c("session").cast("long"), "messages", "_n.*")
+    old = store.read().join(added.select(c("session").alias("_s")), c("session").eqNullSafe(c("_s")), "left_semi")
+    both = old.unionByName(added).groupBy("session").agg(F.sum("messages").alias("messages"), F.max(newest).alias("_n"))
+    store.upsert(both.select("session", "messages", "_n.*"), tag=tag)
+    if len(store.manifest()["deltas"]) > FOLD_AFTER:
+        store.compact()
+
+
+@dataclass
+class SessionRun:
+    """Stored sessions after a run, and what the stream still remembers."""
+
+    sessions: DataFrame
+    remembered: int  # rows of state kept to recognise repeats
+    refused: int  # messages of this run that came after the delay
+
+
+def run_sessions(messages: DataFrame, folder: str, delay: str = "30 days") -> SessionRun:
+    """Process what is there, then stop: sessions under ``folder``/sessions are up to date (STR-1).
+
+    ``messages``: stream of session, at, seq, role. A repeat is a message with the session
+    and seq of an earlier one.
+    """
+    spark = messages.sparkSession
+    store = SnapshotTable.create(spark, f"{folder}/sessions", SESSIONS, ["session"])
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        merge_sessions(store, batch, tag=f"batch {batch_id}")
+
+    once = messages.withColumn("at", c("at").cast("timestamp")).withWatermark("at", delay).dropDuplicatesWithinWatermark(["session", "seq"])
+    query = (once.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/checkpoint")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    steps = [s for p in query.recentProgress for s in p["stateOperators"]]
+    return SessionRun(store.read().drop("seq"), steps[-1]["numRowsTotal"] if steps else 0, sum(s["numRowsDroppedByWatermark"] for s in steps))
+
+
 def tier_usage(questions: DataFrame) -> DataFrame:
     """Questions per tier so far (STR-2)."""
     return complexity(questions, "question").groupBy("tier").agg(F.count("*").alias("questions"))
