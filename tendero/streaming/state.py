@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tendero.operators.querylog import complexity
+from tendero.session import stored
 from tendero.sources.snapshots import SnapshotTable
 
 c = F.col
@@ -56,7 +57,8 @@ def merge_sessions(store: SnapshotTable, messages: DataFrame, tag: str | None =
     newest = F.struct(F.col("updated_at"), F.col("seq"), F.col("last_role"))
     added = messages.groupBy("session").agg(
         F.count("*").alias("messages"), F.max(F.struct(c("at").cast("timestamp").alias("updated_at"), c("seq").cast("long").alias("seq"), c("role").alias("last_role"))).alias("_n"))
-    added = added.select(c("session").cast("long"), "messages", "_n.*")
+    # stored: the batch's own plan, with the stream's state in it, must run once
+    added = stored(added.select(c("session").cast("long"), "messages", "_n.*"), "batch")
     old = store.read().join(added.select(c("session").alias("_s")), c("session").eqNullSafe(c("_s")), "left_semi")
     both = old.unionByName(added).groupBy("session").agg(F.sum("messages").alias("messages"), F.max(newest).alias("_n"))
     store.upsert(both.select("session", "messages", "_n.*"), tag=tag)
@@ -69,7 +71,7 @@ class SessionRun:
     """Stored sessions after a run, and what the stream still remembers."""
 
     sessions: DataFrame
-    remembered: int  # rows of state kept to recognise repeats
+    remembered: int  # messages kept to recognise repeats
     refused: int  # messages of this run that came after the delay
 
 
