@@ -37,6 +37,8 @@ from tendero.session import stored
 STEP = 40  # bits of the random part of a slot's value; the step stands above
 BLOCK_BYTES = 1_000_000  # set or signature bytes of a block of a comparison
 TILE = 8192  # different shingles counted at once
+SENT_ROWS = 1_000_000  # ids or pairs that go to every task to pick texts: 24 bytes each; more meet the texts in a shuffle
+MEMBERS = 256  # sets that are compared with one hub's set in one group
 
 
 def text_sets(column: pa.Array, width: int, lower: bool = True):
@@ -101,15 +103,15 @@ def _sketches(width: int, bands: int, band: int):
 
 
 def _sets(width: int, short: bool = False):
-    """Each text's set as 64-bit values, or as distinct 32-bit ones (``short``)."""
+    """The columns before the text, and the text's set as 64-bit values, or as distinct 32-bit ones (``short``)."""
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
-            for at, values, edges in text_sets(batch.column(1), width):
-                yield pa.RecordBatch.from_arrays([
-                    ids.slice(at, len(edges) - 1),
-                    pa.array([(np.unique(values[a:b].astype(np.uint32)) if short else values[a:b]).tobytes()
-                              for a, b in zip(edges[:-1], edges[1:])], pa.binary())], ["id", "set"])
+            last = batch.num_columns - 1
+            for at, values, edges in text_sets(batch.column(last), width):
+                sets = pa.array([(np.unique(values[a:b].astype(np.uint32)) if short else values[a:b]).tobytes()
+                                 for a, b in zip(edges[:-1], edges[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, len(sets)) for k in range(last)), sets],
+                                                 [*batch.schema.names[:last], "set"])
     return run
 
 
@@ -124,14 +126,18 @@ def _alike(agree: int):
 
 
 def _confirmed(sim: Fraction):
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both * sim.denominator >= sim.numerator * (len(x) + len(y) - both) and both > 0)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    """Members of a block whose sets are similar to their hub's."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if left.num_rows and right.num_rows:
+            hub = np.frombuffer(right["set"][0].as_buffer(), np.uint64)
+            for chunk, ids in zip(left["set"].chunks, left["id"].chunks):
+                for x, member in zip(chunk, ids.to_pylist()):
+                    x = np.frombuffer(x.as_buffer(), np.uint64)
+                    both = len(np.intersect1d(hub, x, assume_unique=True))
+                    if both > 0 and both * sim.denominator >= sim.numerator * (len(x) + len(hub) - both):
+                        found.append(member)
+        return pa.table({"a": pa.array(left["a"][:1].to_pylist() * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
     return run
 
 
@@ -241,12 +247,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # four standard deviations of the share of equal slots below the similarity
     agree = int(bands * band * float(sim) - 4 * (bands * band * float(sim) * (1 - float(sim))) ** 0.5)
 
+    def chosen(wanted: DataFrame) -> DataFrame:
+        """The rows of ``wanted`` (doc_id, ...) with their texts; few are sent to the texts, so that no text is shuffled to meet them."""
+        few = wanted.count() <= SENT_ROWS
+        return texts.join(F.broadcast(wanted) if few else wanted, "doc_id").select(*wanted.columns, "text")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = (texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width), "id long, set binary").dropDuplicates(["id"]))
-        sets = stored(sets, "sets")
-        return stored(pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-                      .select("a", "b", "sa", "sb").mapInArrow(_confirmed(sim), "a long, b long"), "confirmed")
+        """Pairs (a, b) with similar full sets: every block of the ``b`` of an ``a`` meets its set once."""
+        blocks = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("blocks")), "hubs")
+        dealt = stored(pairs.join(blocks, "a").select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block")), "members")
+        members = chosen(dealt).mapInArrow(_sets(width), "id long, a long, block long, set binary")
+        hubs = chosen(blocks.withColumnRenamed("a", "doc_id")).mapInArrow(_sets(width), "a long, blocks long, set binary").select(
+            "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "set")
+        return stored(members.groupBy("a", "block").cogroup(hubs.groupBy("a", "block")).applyInArrow(_confirmed(sim), "a long, b long"), "confirmed")
 
     # 2. each class with the most connected class of each of its buckets
     slots = classes.select("id", F.posexplode("bands").alias("band", "value"))
@@ -295,8 +308,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = stored(mixed(), "mixed")
     suspects = stored(near(members, False).select(*key, F.col("a").alias("id")).distinct(), "suspects")
     wanted = suspects.select(F.col("id").alias("doc_id")).distinct()
-    short = stored(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(width, short=True), "id long, set binary")
-                   .dropDuplicates(["id"]), "sets")
+    short = stored(chosen(stored(wanted, "wanted")).mapInArrow(_sets(width, short=True), "id long, set binary").dropDuplicates(["id"]), "sets")
     last = blocks(members.join(suspects, [*key, "id"], "left_semi").join(size.select("id", (F.col("n_shingles") * 4).alias("bytes")), "id"),
                   short, "set", _block_links(sim), "a long, b long")
     last = last.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
