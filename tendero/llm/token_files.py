@@ -44,7 +44,7 @@ CHECKSUM_FLAG = 0x80
 class FileWriter:
     """Frames one after the other, then the seek table."""
 
-    def __init__(self, out, level: int = 3):
+    def __init__(self, out, level: int = 1):
         self.out, self.table, self.waiting, self.held = out, [], [], 0
         self.packer = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
 
@@ -106,7 +106,7 @@ class FileReader:
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str) -> W.Memo:
+def _tokenizer(path: str) -> W.WordMemo:
     import os
 
     from tokenizers import Tokenizer
@@ -117,7 +117,7 @@ def _tokenizer(path: str) -> W.Memo:
         texts = [s.decode("utf-8", "replace") for s in spans]
         return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return W.Memo(encode)
+    return W.WordMemo(encode)
 
 
 def encoded(column: pa.Array, path: str, end_id: int):
@@ -129,8 +129,7 @@ def encoded(column: pa.Array, path: str, end_id: int):
     memo = _tokenizer(path)
     for first, end, data, offsets in W.slices(column):
         starts, ends, bounds = W.word_spans(data, offsets)
-        codes, spans = W.dictionary(data, starts, ends, ~W.SPACE[data]) if len(starts) else (np.zeros(0, np.int64), [])
-        flat, counts = memo.ids(codes, spans)
+        flat, counts = memo.ids(data, starts, ends) if len(starts) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
         edges = np.concatenate(([0], np.cumsum(counts)))[bounds] + np.arange(end - first + 1)
         ids = np.empty(edges[-1], np.uint32)
         last = np.zeros(len(ids), bool)

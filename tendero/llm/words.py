@@ -8,9 +8,11 @@ task does not depend on the size of its batch (one longer text is a slice of its
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -144,6 +146,66 @@ def dictionary(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, inside: n
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
 
 
+_CHECK = np.random.default_rng(20260102).integers(0, 1 << 63, 256, dtype=np.uint64)
+
+
+class WordMemo:
+    """Ids of words met before in this process, found by hash; emptied when it holds ``most`` words.
+
+    A word is known by its 64-bit hash; a second, independent 64-bit sum of its bytes tells words of
+    one hash apart, and a slice that holds two such words is encoded word by word.
+    ``encode`` maps a list of words (bytes) to a list of id sequences.
+    """
+
+    def __init__(self, encode, most: int = 900_000):
+        self.encode, self.most = encode, most
+        self.hashes, self.checks, self.place = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words ``data[starts:ends]`` one after the other, and the number of each."""
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_CHECK[data], out=sums[1:])
+        check = sums[ends] - sums[starts]
+        codes, unique = pd.factorize(word_hashes(data, starts, ends))
+        first = np.empty(len(unique), np.int64)
+        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)  # the earliest write comes last
+        if (check != check[first][codes]).any():
+            return self._plain(data, starts, ends)
+        if len(self.hashes) + len(unique) > self.most:
+            self.__init__(self.encode, self.most)
+        at = np.minimum(np.searchsorted(self.hashes, unique), max(len(self.hashes) - 1, 0))
+        known = self.hashes[at] == unique if len(self.hashes) else np.zeros(len(unique), bool)
+        if (self.checks[at[known]] != check[first[known]]).any():
+            return self._plain(data, starts, ends)
+        place = np.empty(len(unique), np.int64)
+        place[known] = self.place[at[known]]
+        if not known.all():
+            new = np.flatnonzero(~known)
+            text = data.tobytes()
+            lengths, flat = self._encoded([text[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            place[new] = len(self.starts) - 1 + np.arange(len(new))
+            self.flat = np.concatenate((self.flat, flat))
+            self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(lengths)))
+            hashes = np.concatenate((self.hashes, unique[new]))
+            order = np.argsort(hashes, kind="stable")
+            self.hashes = hashes[order]
+            self.checks = np.concatenate((self.checks, check[first[new]]))[order]
+            self.place = np.concatenate((self.place, place[new]))[order]
+        counts = np.diff(self.starts)[place]
+        return self.flat[ranges(self.starts[place[codes]], counts[codes])], counts[codes]
+
+    def _encoded(self, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.encode(spans)
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return lengths, np.fromiter(itertools.chain.from_iterable(found), np.int32, int(lengths.sum()))
+
+    def _plain(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        text = data.tobytes()
+        lengths, flat = self._encoded([text[a:b] for a, b in zip(starts.tolist(), ends.tolist())])
+        return flat, lengths
+
+
 class Memo:
     """Ids of spans met before in this process; emptied when it holds ``most`` spans.
 

@@ -349,6 +349,24 @@ def test_every_range_has_a_whole_filter_and_no_process_the_whole_one(docs, rows,
     assert max(off) < 0.5 and np.mean(off) < 0.1
 
 
+def test_word_memo_with_and_without_equal_hashes(monkeypatch):
+    text = (" ".join(["alpha", "beta", "alpha", "É", "gamma", "beta"] * 3) + " x" * 5).encode()
+    data = np.frombuffer(text, np.uint8)
+    starts, ends, _ = W.word_spans(data, np.array([0, len(data)]))
+    want = [text[a:b] for a, b in zip(starts, ends)]
+    encode = lambda spans: [list(s) for s in spans]
+    for hashes in (W.word_hashes, lambda d, a, b: (b - a).astype(np.uint64)):  # the second one confuses words of equal length
+        monkeypatch.setattr(W, "word_hashes", hashes)
+        memo = W.WordMemo(encode, most=6)
+        for _ in range(3):
+            flat, counts = memo.ids(data, starts, ends)
+            assert flat.tolist() == [b for w in want for b in w] and counts.tolist() == [len(w) for w in want]
+        # words that come later and share a hash with known ones
+        other = np.frombuffer(b"delta alpha", np.uint8)
+        starts2, ends2, _ = W.word_spans(other, np.array([0, 11]))
+        assert memo.ids(other, starts2, ends2)[0].tolist() == list(b"deltaalpha")
+
+
 def test_filter_never_gives_a_level_too_low():
     hashes = np.sort(W.mix(np.arange(5000, dtype=np.uint64)))
     counts = np.random.default_rng(2).zipf(1.5, 5000).clip(1, 10**6)
