@@ -36,6 +36,7 @@ from tendero.session import stored
 
 STEP = 40  # bits of the random part of a slot's value; the step stands above
 BLOCK_BYTES = 1_000_000  # set or signature bytes of a block of a comparison
+SET_BYTES = 1_000_000  # bytes of text whose shingles are held at a time: some 150 bytes of arrays for each
 TILE = 8192  # different shingles counted at once
 SENT_ROWS = 1_000_000  # ids or pairs that go to every task to pick texts: 24 bytes each; more meet the texts in a shuffle
 MEMBERS = 256  # sets that are compared with one hub's set in one group
@@ -43,7 +44,7 @@ MEMBERS = 256  # sets that are compared with one hub's set in one group
 
 def text_sets(column: pa.Array, width: int, lower: bool = True):
     """(first row, shingles, edges) of slices of a text column; sorted, distinct per text."""
-    for at, _, data, offsets in W.slices(column):
+    for at, _, data, offsets in W.slices(column, SET_BYTES):
         if lower:
             data = W.LOWER[data]
         starts, ends, bounds = W.word_spans(data, offsets)
