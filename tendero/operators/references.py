@@ -26,13 +26,13 @@ MARGIN = 1.10  # six standard errors: a true inclusion is never dropped by its s
 
 
 def column_sketches(tables: Mapping[str, DataFrame], types: tuple[str, ...] = INTEGRAL) -> DataFrame:
-    """(table_name, column, filled, low, high, sketch) of every column of the given types; one scan per table."""
+    """(kind, table_name, column, filled, low, high, sketch) of every column of the given types; one scan per table."""
     parts = []
     for name, df in tables.items():
         names = [f.name for f in df.schema.fields if f.dataType.typeName() in types]
         if not names:
             continue
-        facts = [F.struct(F.lit(name).alias("table_name"), F.lit(n).alias("column"), F.count(c(n)).alias("filled"),
+        facts = [F.struct(F.lit("whole").alias("kind"), F.lit(name).alias("table_name"), F.lit(n).alias("column"), F.count(c(n)).alias("filled"),
                           F.min(c(n).cast("long")).alias("low"), F.max(c(n).cast("long")).alias("high"),
                           F.hll_sketch_agg(c(n).cast("long"), LG_K).alias("sketch")) for n in names]
         parts.append(df.agg(F.array(*facts).alias("facts")).select(F.inline("facts")))
@@ -41,11 +41,11 @@ def column_sketches(tables: Mapping[str, DataFrame], types: tuple[str, ...] = IN
 
 def possible(columns: DataFrame) -> DataFrame:
     """Pairs of columns that ranges and sketches allow: (a_table, a_column, b_table, b_column)."""
-    a = columns.select(*[c(n).alias(f"a_{n}") for n in columns.columns], F.lit(1).alias("_one"))
-    b = columns.select(*[c(n).alias(f"b_{n}") for n in columns.columns], F.lit(1).alias("_one"))
+    a = columns.select(*[c(n).alias(f"a_{n}") for n in columns.columns if n != "kind"], "kind")
+    b = columns.select(*[c(n).alias(f"b_{n}") for n in columns.columns if n != "kind"], "kind")
     both = F.hll_sketch_estimate(F.hll_union("a_sketch", "b_sketch"))
     return (
-        a.join(b, "_one")  # as many rows as there are columns, on both sides
+        a.join(b, "kind")  # as many rows as there are columns, on both sides
         .where((c("a_table_name") != c("b_table_name")) | (c("a_column") != c("b_column")))
         .where((c("a_low") >= c("b_low")) & (c("a_high") <= c("b_high")) & (both <= F.hll_sketch_estimate("b_sketch") * MARGIN + 1))
         .select(c("a_table_name").alias("a_table"), "a_column", c("b_table_name").alias("b_table"), "b_column"))
