@@ -62,8 +62,8 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-# Trained scores, signatures and subword encoding have no SQL form: the tests hold each
-# stage against a brute-force version.
+# Trained scores, signatures and subword encoding have no SQL form: the tests hold the operators
+# against brute force, and the stages against the columns and rows that they must keep.
 ORACLE_SQL = None
 
 
