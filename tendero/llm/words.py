@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 4_000_000
+SMALL_BYTES = 1_000_000
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -77,7 +78,8 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def _power(kind: str, n: int) -> np.ndarray:
     if len(_powers.get(kind, ())) < n:
-        step = np.full(max(n, SLICE_BYTES + 1), _BASE if kind == "up" else _INVERSE, np.uint64)
+        # one step up at a time: a process that only sees small slices keeps a small table
+        step = np.full(max(n, SMALL_BYTES + 1 if n <= SMALL_BYTES + 1 else SLICE_BYTES + 1), _BASE if kind == "up" else _INVERSE, np.uint64)
         step[0] = 1
         _powers[kind] = np.cumprod(step, dtype=np.uint64)
     return _powers[kind][:n]

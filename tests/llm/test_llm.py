@@ -327,8 +327,7 @@ def test_language_model(docs, nothing, rows):
     assert lm_scoring.lm_scores(nothing).count() == 0
 
 
-def test_every_range_has_a_whole_filter_and_no_process_the_whole_one(docs, rows, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "Filter", None)  # in this process: tasks have their own
+def test_language_model_equals_exact_counts_whatever_the_groups(docs, rows, monkeypatch):
     monkeypatch.setattr(lm_scoring, "RANGE_ENTRIES", 500)
     held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
     single, pair = Counter(), Counter()
@@ -337,16 +336,29 @@ def test_every_range_has_a_whole_filter_and_no_process_the_whole_one(docs, rows,
             w = [*words(t), None]
             single.update(w)
             pair.update(zip(w, w[1:]))
-    total, text = sum(single.values()) + 0.1 * (len(single) + 1), {r[0]: r[1] for r in rows}
-    value = lambda n: lm_scoring.VALUE[lm_scoring.levels(np.array([n]))[0]] if n else 0.0
+    level = lambda n: int(lm_scoring.levels(np.array([n]))[0]) if n else 0
+    mass, text = sum(lm_scoring.VALUE[level(n)] for n in single.values()) + 0.1 * (len(single) + 1), {r[0]: r[1] for r in rows}
+    alone = lambda x: (lm_scoring.VALUE[level(single[x])] + 0.1) / mass
+    assert sum(map(alone, [*single, "never seen before"])) == pytest.approx(1)
+    for x in single:
+        assert sum(lm_scoring.LEAST[level(n)] for (a, _), n in pair.items() if a == x) <= lm_scoring.MOST[level(single[x])]
+    one = {(r.doc_id, r.n_tokens, r.score) for r in lm_scoring.lm_scores(docs).collect()}
+    assert one == {(r.doc_id, r.n_tokens, r.score) for r in lm_scoring.lm_scores(docs, group_bytes=500).collect()}
     off = []
-    for r in lm_scoring.lm_scores(docs).collect():
-        w = [*words(text[r.doc_id]), None]
-        alone = [(value(single[x]) + 0.1) / total for x in w]
-        both = [value(pair[x]) for x in zip(w, w[1:])]
-        p = alone[:1] + [0.3 * b / max(value(single[x]), b, 1.0) + 0.7 * a for x, b, a in zip(w, both, alone[1:])]
-        off.append(abs(r.score - np.log10(p).sum()) / len(w))
-    assert max(off) < 0.5 and np.mean(off) < 0.1
+    for i, _, score in one:
+        w = [*words(text[i]), None]
+        p = [alone(w[0])] + [0.3 * lm_scoring.LEAST[level(pair[a, b])] / lm_scoring.MOST[level(single[a])] + 0.7 * alone(b) if single[a] else alone(b)
+                             for a, b in zip(w, w[1:])]
+        off.append(abs(score - np.log10(p).sum()) / len(w))
+    assert max(off) < 0.5 and np.mean(off) < 0.05
+
+
+def test_groups_of_ranges_stay_within_the_bytes():
+    sizes = [("words", k, 30) for k in range(5)] + [("pairs", k, 45) for k in range(4)]
+    groups = lm_scoring._groups(sizes, 100)
+    assert groups == [{"words": (0, 3)}, {"words": (3, 5)}, {"pairs": (0, 2)}, {"pairs": (2, 4)}]
+    assert lm_scoring._groups(sizes, 10**6) == [{"words": (0, 5), "pairs": (0, 4)}]
+    assert len(lm_scoring._groups(sizes, 1)) == 9
 
 
 def test_word_memo_with_and_without_equal_hashes(monkeypatch):
@@ -370,9 +382,9 @@ def test_word_memo_with_and_without_equal_hashes(monkeypatch):
 def test_filter_never_gives_a_level_too_low():
     hashes = np.sort(W.mix(np.arange(5000, dtype=np.uint64)))
     counts = np.random.default_rng(2).zipf(1.5, 5000).clip(1, 10**6)
-    table = pa.table({"range": [0], "hashes": [hashes.tobytes()], "counts": [counts.astype(np.uint32).tobytes()]})
-    part = lm_scoring._filled(lm_scoring.BITS)(table)["bits"][0].as_py()
-    model, level = lm_scoring.Filter({0: part}, 0), lm_scoring.levels(counts)
+    table = pa.table({"range": [0], "block": [1], "hashes": [lm_scoring.pack(hashes)], "counts": [lm_scoring.pack(counts.astype(np.uint32))]})
+    part = lm_scoring._counted(False)(table)["part"][0].as_py()
+    model, level = lm_scoring.Filter([part]), lm_scoring.levels(counts)
     assert (model.level(hashes) >= level).all() and (model.level(hashes) == level).mean() > 0.95
     assert (model.level(W.mix(np.arange(5000, 9000, dtype=np.uint64))) > 0).mean() < 0.05
     assert lm_scoring.VALUE[lm_scoring.levels(np.array([1, 2, 3]))].tolist() == [1, 2, 3]
