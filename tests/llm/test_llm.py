@@ -304,6 +304,16 @@ def test_compact_windows():
         assert set(zip(*(x.tolist() for x in substring_dedup.compact_windows(h, edges, least)))) == want
 
 
+def test_a_window_reaches_over_a_whole_long_text():
+    text = " ".join(f"w{i}" for i in range(100_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([7], pa.int64()), pa.array([text])], ["doc_id", "text"])
+    found = [substring_dedup.unpacked(x, substring_dedup.ENTRY)
+             for out in substring_dedup._entries(1, 46, 3)([batch]) for k, x in zip(out["range"].to_pylist(), out["data"].to_pylist()) if k >= 0]
+    windows = np.concatenate(found)
+    assert (windows["l"].astype(int) + windows["r"] + 1).max() == 100_000 - substring_dedup.WIDTH + 1
+    assert len(np.unique(windows["v"])) == len(windows) and (windows["doc"] == 7).all()
+
+
 def test_repeated_passages(docs, nothing):
     got = {(r.match_doc_id, r.doc_id): r for r in substring_dedup.repeated_passages(docs).collect()}
     assert {(0, 1), (0, 2), (3, 10)} <= set(got) and (0, 3) not in got
