@@ -17,9 +17,13 @@ The index of ``index_words`` words of items goes to all tasks; more items take f
 passes over the texts, with the same statistics. Items have ``question`` and ``answer``
 columns, or a ``text`` whose last quarter of words counts as the answer.
 
+Words are compared without ASCII signs at their ends, and runs of signs alone are no words,
+in texts and items alike: a passage is found whatever is glued to its words. ``first_word``
+counts these words.
+
 Rows: null and empty texts and items match nothing, nor do words of null ids differ from
-others; an item under five words must stand whole; repeated rows each give their rows;
-equal items all match. Long texts are taken whole.
+others; items without a letter or digit match nothing; an item under five words must stand
+whole; repeated rows each give their rows; equal items all match. Long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -37,16 +41,33 @@ from tendero.llm import words as W
 UNIT = 64
 BLOCK = 32  # postings of a block with its own largest impact
 K1, B = 1.2, 0.75
+SIGN = np.zeros(256, bool)
+SIGN[[x for x in range(0x21, 0x7F) if not chr(x).isalnum()]] = True
+NOT_SIGN = r"[^\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]"
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
 
 
-def hashes_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of some texts, and the edges of each text."""
-    data, offsets = W.text_bytes(pa.array(texts, pa.string()))
+def bare_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words without the signs at their ends, and the edges of each text."""
     starts, ends, bounds = W.word_spans(data, offsets)
+    glued = np.flatnonzero(SIGN[data[starts]] | SIGN[data[ends - 1]])
+    if len(glued):
+        inner = np.flatnonzero(~(SIGN | W.SPACE)[data])
+        a, b = np.searchsorted(inner, (starts[glued], ends[glued]))
+        some = b > a
+        starts[glued[some]], ends[glued[some]] = inner[a[some]], inner[b[some] - 1] + 1
+        kept = np.ones(len(starts), bool)
+        kept[glued[~some]] = False
+        starts, ends = starts[kept], ends[kept]
+        bounds = np.searchsorted(starts, offsets)
     return W.word_hashes(W.LOWER[data], starts, ends), bounds
 
 
+def hashes_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """``bare_words`` of some texts."""
+    return bare_words(*W.text_bytes(pa.array(texts, pa.string())))
+
+
 @dataclass
 class Index:
     """Impact-ordered bounds over postings in unit order; terms are positions in ``vocabulary``."""
@@ -154,7 +175,7 @@ def build_index(items: list[tuple], frequency: dict[int, int], count: int, mean:
 def _share(part: np.ndarray, known: set) -> float:
     """Share of a part's shingles (five words, fewer if the part is shorter) that are known."""
     runs, _ = W.shingles(part, np.array([0, len(part)]), min(5, len(part)) or 1)
-    return sum(x in known for x in runs.tolist()) / len(runs) if len(runs) else 1.0
+    return sum(x in known for x in runs.tolist()) / len(runs) if len(runs) else 1.0  # nothing is asked for
 
 
 def _passages(index: Index, threshold: float, overlap: float):
@@ -191,8 +212,7 @@ def _passages(index: Index, threshold: float, overlap: float):
         for batch in batches:
             ids = batch.column(0)
             for first, _, data, offsets in W.slices(batch.column(1)):
-                starts, ends, bounds = W.word_spans(data, offsets)
-                hashes = W.word_hashes(W.LOWER[data], starts, ends)
+                hashes, bounds = bare_words(data, offsets)
                 best: dict[tuple[int, int], tuple] = {}
                 for text, passage, terms in candidates(hashes, bounds):
                     for unit, score in index.above(terms, threshold):
@@ -235,8 +255,8 @@ def _unit_words(batches):
 def split_items(items: DataFrame) -> DataFrame:
     """(item_id, question, answer); a plain text's last quarter of words is its answer."""
     if {"question", "answer"} <= set(items.columns):
-        return items.select(F.col("item_id").cast("long"), "question", "answer")
-    w = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
+        return items.where(F.concat_ws(" ", "question", "answer").rlike(NOT_SIGN)).select(F.col("item_id").cast("long"), "question", "answer")
+    w = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x.rlike(NOT_SIGN))
     cut = F.size(w) - F.greatest(F.lit(1), F.floor(F.size(w) / 4)).cast("int")
     return items.where("text is not null").select(F.col("item_id").cast("long"), w.alias("w"), cut.alias("cut")).where("size(w) > 0").select(
         "item_id", F.array_join(F.slice("w", F.lit(1), F.col("cut")), " ").alias("question"),

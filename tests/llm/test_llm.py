@@ -167,6 +167,36 @@ def test_decontamination(spark, docs, nothing):
     assert decontamination.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_signs_at_the_ends_of_words_hide_no_passage(spark):
+    r, signs = np.random.default_rng(12), [".", "!?", '"', "$$$", "...%%%", "(", "-"]
+    items = [(k, prose(300 + k, 8 + 3 * k)) for k in range(12)] + [(50, "... !! ??"), (51, "-"), (52, None)]
+    glue = lambda w: (str(r.choice(signs)) if r.random() < 0.3 else "") + w + (str(r.choice(signs)) if r.random() < 0.4 else "")
+    texts = [(k, f"{prose(400 + k, 40)} {' - '.join(glue(w) for w in t.upper().split())} $$$ {prose(500 + k, 40)}") for k, t in items[:12]]
+    texts += [(100, "... !! ?? - - ..."), (101, "- " * 5000), (102, prose(600, 300))]
+    found = decontamination.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x.doc_id, x.item_id) for x in found.collect()} == {(k, k) for k in range(12)}
+    assert decontamination.contaminated(spark.createDataFrame(texts, "doc_id long, text string"),
+                                        spark.createDataFrame(items[12:], "item_id long, text string")).count() == 0
+
+
+def test_decontamination_equals_brute_force(spark):
+    """Pairs that hold nine of ten of an item's shingles, on the given tables, against plain Python sets."""
+    bare = lambda t: [w for x in words(t) if (w := x.strip("".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())))]
+    runs = lambda w: {tuple(w[k:k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()
+    table = lambda name: spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/{name}.parquet")
+    items = {r.item_id: runs(bare(r.text)) for r in table("benchmark").collect()}
+    holders = {}
+    for i, s in items.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    want = set()
+    for r in table("documents").select("doc_id", "text").collect():
+        counts = Counter(i for x in runs(bare(r.text)) for i in holders.get(x, ()))
+        want |= {(r.doc_id, i) for i, n in counts.items() if n >= 0.9 * len(items[i])}
+    got = {(r.doc_id, r.item_id): min(r.question_overlap, r.answer_overlap) for r in QUERIES["op3_benchmark_decontamination"](spark, DATA.replace("0.001", "0.01")).collect()}
+    assert len(want) > 10 and len(want - set(got)) <= 0.01 * len(want) and min(got.values()) >= 0.8
+
+
 def test_block_max_wand_gives_every_unit_above_the_threshold():
     r = np.random.default_rng(3)
     items = [(k, " ".join(f"w{x}" for x in r.zipf(1.4, 12) % 60), f"w{r.integers(60)}") for k in range(300)]
