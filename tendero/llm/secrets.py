@@ -1,14 +1,17 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are runs of 16 to 200 characters of keys and tokens that hold a digit. Their
+Candidates are whole runs of characters of keys and tokens, however long: those of at least
+16 with a digit, and those of at least 6 that are assigned to a name of a secret. A name
+before ``=`` is no part of the value, padding is. Their
 features are DataFrame expressions: length, shares and changes of character classes,
 coverage by a dictionary (runs of letters that are frequent words of the corpus), the
 path (the source column), and the words around. A random forest (Spark ML) learns from
 labelled findings, at most ``sample`` of them; all candidates are scored.
 
-``label_findings`` marks clear cases where no reviewed labels exist: quoted mixed values
-assigned to a name of a secret are 1; plain numbers, and values that stand alone in
-prose, are 0; the rest stay unlabelled.
+``label_findings`` marks clear cases where no reviewed labels exist: mixed values
+assigned to a name of a secret, and values that begin as issued keys do, are 1; plain
+numbers, dictionary words or bare letters, and values that stand alone in prose, are 0; the rest
+stay unlabelled.
 
 Rows: null and empty texts have no candidates. Findings of equal (id, text) rows are
 equal; null ids and null paths are allowed. Without findings of both labels nothing can
@@ -25,11 +28,17 @@ from pyspark.sql import functions as F
 
 from tendero.session import stored
 
-PATTERN = r"(?=[A-Za-z+/_=-]{0,199}[0-9])[A-Za-z0-9+/_=-]{16,200}"
+_RUN, _NAMED = "[A-Za-z0-9+/_-]", "(?i:token|secret|api.?key|passw|passwd|pwd|auth|credential|private|access.?key|bearer)"
+# a run is taken from its first character to its last; one with ``=`` and a value behind it is a name
+PATTERN = (f"(?<!{_RUN})(?:(?=[A-Za-z+/_-]*+[0-9]){_RUN}{{16,}}+"
+           f"|(?<=[=:][\\x20\"'`]{{0,3}})(?<={_NAMED}[A-Za-z0-9_-]{{0,16}}[\"'`]?[\\x20]{{0,2}}[=:][\\x20\"'`]{{0,3}}){_RUN}{{6,}}+)"
+           f"(?!={_RUN})(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?")
 NAMES = r"(?i)(token|secret|api.?key|passw|passwd|pwd|auth|credential|private|access.?key|bearer)"
+# First characters of keys as their issuers publish them.
+ISSUED = r"^(AKIA|ASIA|AIza|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|sk-|SG\.|npm_|ya29|eyJ)"
 EXAMPLES = r"(?i)(example|dummy|sample|placeholder|changeme|your|fake|test)"
 ASSIGNED = r"[=:]\s*[\"'`]?$"
-FEATURES = ["size", "digits", "upper", "lower", "other", "changes", "digit_changes", "variety", "vowels", "covered",
+FEATURES = ["size", "digits", "upper", "lower", "other", "changes", "digit_changes", "variety", "vowels", "covered", "issued",
             "path_test", "path_conf", "path_known", "named", "named_near", "assigned", "quoted", "example", "words_before", "digit_before"]
 
 
@@ -78,6 +87,7 @@ def features(found: DataFrame, dictionary: DataFrame) -> DataFrame:
         num(digit_runs / F.length(v)).alias("digit_changes"),
         num(F.size(F.array_distinct(F.split(v, ""))) / F.length(v)).alias("variety"), num(_share(v, "aeiouAEIOU")).alias("vowels"),
         num(F.coalesce(F.col("known"), F.lit(0)) / F.length(v)).alias("covered"),
+        num(v.rlike(ISSUED)).alias("issued"),
         num(path.rlike(r"(?i)(test|example|sample|mock|doc)")).alias("path_test"),
         num(path.rlike(r"(?i)(conf|env|secret|deploy|prod)")).alias("path_conf"), num(path != "").alias("path_known"),
         num(b.rlike(NAMES)).alias("named"), num(F.expr("right(before, 24)").rlike(NAMES)).alias("named_near"),
@@ -88,8 +98,13 @@ def features(found: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def label_findings(rows: DataFrame) -> DataFrame:
     """``rows`` with ``label``: 1 clear secrets, 0 clear false positives, null the rest."""
-    secret = "named_near = 1 and assigned = 1 and example = 0 and digits between 0.1 and 0.95 and variety * size >= 8"
-    return rows.withColumn("label", F.expr(f"case when {secret} then 1 when digits = 1 then 0 when named = 0 and assigned = 0 then 0 end"))
+    assigned = "named_near = 1 and assigned = 1 and digits between 0.05 and 0.95 and variety * size >= 5"
+    letters = "named_near = 1 and assigned = 1 and quoted = 1 and size >= 16 and upper between 0.1 and 0.9 and covered < 0.3"
+    issued = "issued = 1 and size >= 16 and digits > 0 and variety * size >= 8"
+    return rows.withColumn("label", F.expr(f"""
+        case when example = 0 and ({assigned} or {letters} or {issued}) then 1
+             when digits = 1 and (named_near = 0 or assigned = 0) then 0 when digits = 0 and (covered >= 0.5 or quoted = 0) then 0
+             when named = 0 and assigned = 0 and issued = 0 then 0 end"""))
 
 
 def train(labelled: DataFrame, *, sample: int = 20_000, trees: int = 20, depth: int = 6):

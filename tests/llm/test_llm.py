@@ -223,6 +223,38 @@ def test_secrets(docs, nothing, rows):
     assert secrets.scan(nothing).count() == 0 and secrets.redact(nothing, secrets.scan(nothing)).columns == nothing.columns
 
 
+def plain_candidates(text):
+    """Runs by the rule in words: whole, 16 with a digit or 6 that are assigned to a name of a secret, padding taken along."""
+    name = re.compile(r"(?i:token|secret|api.?key|passw|passwd|pwd|auth|credential|private|access.?key|bearer)[A-Za-z0-9_-]{0,16}[\"'`]?\x20{0,2}[=:][\x20\"'`]{0,3}$", re.A)
+    for m in re.finditer(r"[A-Za-z0-9+/_-]+", text or ""):
+        end = m.end()
+        if re.match(r"=[A-Za-z0-9+/_-]", text[end:]):
+            continue
+        if len(m[0]) >= 16 and re.search("[0-9]", m[0]) or len(m[0]) >= 6 and name.search(text[max(0, m.start() - 60):m.start()]):
+            pad = re.match(r"={1,2}(?![A-Za-z0-9+/_=-])", text[end:])
+            yield m.start(), m[0] + (pad[0] if pad else "")
+
+
+def test_secrets_are_whole_and_apart_from_their_names(spark):
+    r = np.random.default_rng(9)
+    key = lambda n, chars="abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789": "".join(r.choice(list(chars), n))
+    long, plain, letters = "a1" + key(500), "x7" + key(40), key(24, "abcdefghKLMNPQRSTUV")
+    texts = [f'{prose(k, 15)} api_key = "q8{key(30)}" {prose(50 + k, 12)} {key(20, "0123456789")} {prose(90 + k, 5)}' for k in range(30)]
+    texts += [f'{prose(k, 9)} auth_token = "{key(24, "abcdefghKLMNPQRSTUV")}" {prose(200 + k, 9)}' for k in range(30)]
+    texts += [f'{prose(7, 9)} secret = "{long}" {prose(8, 9)}', f"{prose(9, 9)}\nAPI_KEY={plain}\n{prose(10, 9)}", f'db password="hunter2" {prose(11, 9)}',
+              f'token: "{letters}" {prose(12, 9)}', "x" * 100_000, "x1" + "y" * 100_000, "=" * 5000, "token=" * 3000, "author: somebody wrote 12", "", None,
+              f"{prose(13, 9)} sha AKIA{key(16, '234567ABCDEFGH')} {prose(14, 9)}", "password = a1b2c3d4== and secret_key=abc=def2", "AWS_S3_SECRET_ACCESS_KEY_01=q1" + key(30)]
+    texts += [f"{prose(k, 9)} author: {prose(k, 1)}ed {prose(40 + k, 9)}" for k in range(20)]
+    rows = [(k, t, None if k % 5 else "conf/env") for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    verdicts = secrets.scan(docs).collect()
+    assert sorted((x.doc_id, x.start, x.value) for x in verdicts) == sorted((k, *c) for k, t, _ in rows for c in plain_candidates(t))
+    clean = {x.doc_id: x.text for x in secrets.redact(docs, secrets.scan(docs)).collect()}
+    assert clean[60] == texts[60].replace(long, "<secret>") and clean[61] == texts[61].replace(plain, "<secret>")
+    assert clean[63] == texts[63].replace(letters, "<secret>") and all("<secret>" in clean[k] for k in range(60))
+    assert all(clean[k] == texts[k] for k in (64, 66, 67, 68, 69, 70))
+
+
 def test_sentencepiece(docs, nothing, rows):
     path = public_tokenizers.path("piece_bpe_32k.model")
     lib = sentencepiece.SentencePieceProcessor(model_file=path)
