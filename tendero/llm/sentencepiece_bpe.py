@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from tendero.llm import words as W
 
 GAP = "▁"
+SLICE = 900_000  # bytes of text that are encoded at a time
 
 
 class Model:
@@ -204,10 +205,10 @@ class Model:
     def units(self, spans: list[bytes]) -> list[list[int]]:
         return [self.unit(s) for s in spans]
 
-    def encode(self, column: pa.Array, memo: W.Memo):
+    def encode(self, column: pa.Array, memo: W.WordMemo):
         """(first row, ids, edges) of slices of a text column, with begin and end ids."""
         column = pc.replace_substring(pc.fill_null(column, ""), GAP, " ")
-        for first, end, data, offsets in W.slices(column):
+        for first, end, data, offsets in W.slices(column, SLICE):
             n = end - first
             sizes = np.diff(offsets)
             # every text that isn't empty begins with a gap of its own
@@ -219,8 +220,7 @@ class Model:
             start[offsets[:-1][sizes > 0]] = True
             starts = np.flatnonzero(start)
             ends = np.append(starts[1:], len(data)) if len(starts) else starts
-            codes, spans = W.dictionary(data, starts, ends, slice(None)) if len(starts) else (np.zeros(0, np.int64), [])
-            flat, counts = memo.ids(codes, spans)
+            flat, counts = memo.ids(data, starts, ends) if len(starts) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
             upto = np.concatenate(([0], np.cumsum(counts)))[np.searchsorted(starts, offsets)]
             edges = upto + 2 * np.arange(n + 1)
             ids = np.empty(edges[-1], np.int32)
@@ -279,9 +279,9 @@ class Model:
 
 
 @lru_cache(maxsize=2)
-def _loaded(path: str) -> tuple[Model, W.Memo]:
+def _loaded(path: str) -> tuple[Model, W.WordMemo]:
     model = Model(path)
-    return model, W.Memo(model.units)
+    return model, W.WordMemo(model.units)
 
 
 def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

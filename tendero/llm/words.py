@@ -140,14 +140,6 @@ def distinct_per_text(values: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray
     return v, np.searchsorted(t, np.arange(len(edges)))
 
 
-def dictionary(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Each span as an index of the list of different spans; ``inside`` marks the bytes of spans."""
-    edges = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
-    column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data[inside]))])
-    coded = column.dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
-
-
 _CHECK = np.random.default_rng(20260102).integers(0, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -206,32 +198,3 @@ class WordMemo:
         text = data.tobytes()
         lengths, flat = self._encoded([text[a:b] for a, b in zip(starts.tolist(), ends.tolist())])
         return flat, lengths
-
-
-class Memo:
-    """Ids of spans met before in this process; emptied when it holds ``most`` spans.
-
-    ``encode`` maps a list of new spans to a list of id sequences.
-    """
-
-    def __init__(self, encode, most: int = 900_000):
-        self.encode, self.most = encode, most
-        self.known: dict[bytes, int] = {}
-        self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
-
-    def ids(self, codes: np.ndarray, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the spans ``codes`` one after the other, and the number of each."""
-        if len(self.known) + len(spans) > self.most:
-            self.__init__(self.encode, self.most)
-        known = self.known
-        new = [s for s in spans if s not in known]
-        if new:
-            found = self.encode(new)
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            more = np.fromiter((i for x in found for i in x), np.int32, int(lengths.sum()))
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            self.flat = np.concatenate((self.flat, more))
-            self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(lengths)))
-        place = np.fromiter((known[s] for s in spans), np.int64, len(spans))[codes]
-        counts = self.starts[place + 1] - self.starts[place]
-        return self.flat[ranges(self.starts[place], counts)], counts
