@@ -66,25 +66,26 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int):
 
 
 class Examples:
-    """Sparse rows end to end in two flat arrays, which go back to the system as a whole."""
+    """Sparse rows end to end in pairs of flat arrays, none of which is copied as the rows become more."""
 
-    def __init__(self):
-        self.index, self.value = np.zeros(1 << 20, np.int32), np.zeros(1 << 20, np.float32)
-        self.edges, self.labels = [0], []
+    def __init__(self, room: int = 1 << 20):
+        self.room, self.parts, self.at, self.rows = room, [], 0, []
 
     def add(self, index: np.ndarray, value: np.ndarray, label: float) -> None:
-        at, end = self.edges[-1], self.edges[-1] + len(index)
-        if end > len(self.index):
-            room = max(end, 2 * len(self.index)) - len(self.index)
-            self.index, self.value = (np.concatenate((x, np.zeros(room, x.dtype))) for x in (self.index, self.value))
-        self.index[at:end], self.value[at:end] = index, value
-        self.edges.append(end)
-        self.labels.append(label)
+        if not self.parts or self.at + len(index) > len(self.parts[-1][0]):
+            room = max(self.room, len(index))
+            self.parts.append((np.zeros(room, np.int32), np.zeros(room, np.float32)))
+            self.at = 0
+        end = self.at + len(index)
+        for part, x in zip(self.parts[-1], (index, value)):
+            part[self.at:end] = x
+        self.rows.append((len(self.parts) - 1, self.at, end, label))
+        self.at = end
 
     def __iter__(self):
-        for k, label in enumerate(self.labels):
-            part = slice(self.edges[k], self.edges[k + 1])
-            yield self.index[part], self.value[part], label
+        for k, at, end, label in self.rows:
+            index, value = self.parts[k]
+            yield index[at:end], value[at:end], label
 
 
 def ftrl(examples, bits: int, *, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.05, l2: float = 0.05,
@@ -118,9 +119,10 @@ def _trainer(bits: int):
                     i, v = index[edges[k]:edges[k + 1]], value[edges[k]:edges[k + 1]]
                     unique, inverse = np.unique(i, return_inverse=True)
                     examples.add(np.append(unique, 1 << bits), np.append(np.bincount(inverse, v, len(unique)), 1.0), labels[at + k])
-        if examples.labels:
+        if examples.rows:
             weights = ftrl(examples, bits).tobytes()
             del examples
+            pa.default_memory_pool().release_unused()  # the process goes on to other tasks
             yield pa.RecordBatch.from_arrays([pa.array([weights], pa.binary())], ["weights"])
     return run
 
