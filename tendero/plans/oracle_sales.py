@@ -141,6 +141,17 @@ FROM s WHERE {_YEAR} GROUP BY day""",
 SELECT l.article_id, {_d('sum(units)')} AS units, {_d('sum(units * cost)')} AS spent,
        {_ratio('sum(units * cost)', 'sum(units)')} AS average_cost
 FROM l JOIN a ON l.article_id = a.article_id GROUP BY l.article_id""",
+    "stock_of_lateral": f"""
+SELECT a.article_id, warehouse_id, {_d('sum(units)')} AS stock
+FROM a JOIN l ON l.article_id = a.article_id WHERE flag = 'R' GROUP BY ALL""",
+    "sales_between_lateral": f"""
+SELECT CAST(date_trunc('month', day) AS DATE) AS month, day, count(DISTINCT doc_id) AS documents,
+       {_d('sum(units)')} AS units, {_d('sum(net)')} AS amount
+FROM s GROUP BY ALL""",
+    "avg_cost_lateral": f"""
+SELECT a.article_id, {_d('sum(units)')} AS units, {_d('sum(units * cost)')} AS spent,
+       {_ratio('sum(units * cost)', 'sum(units)')} AS average_cost
+FROM a LEFT JOIN l ON l.article_id = a.article_id GROUP BY a.article_id""",
     "sales_detail": f"""
 SELECT h.doc_id, day, line_no, warehouse, l.article_id, code, article, {_d('units')} AS units,
        {_d('net')} AS net

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tendero.functions.columns import exact, total
 from tendero.functions.predicates import edge_case, is_system, real_article
-from tendero.operators import baskets, ranking, sales, widening
+from tendero.operators import baskets, ranking, sales, table_functions, widening
 from tendero.operators.reads import page, preview
 from tendero.sources.tables import Tables
 
@@ -54,6 +54,9 @@ SALES_QUERIES: dict[str, Query] = {
     "stock_of": lambda t: sales.stock_of(t, 100),
     "sales_between": lambda t: sales.sales_between(t, Y0, Y1),
     "avg_cost": sales.avg_cost,
+    "stock_of_lateral": table_functions.stock_of_articles,
+    "sales_between_lateral": table_functions.sales_of_months,
+    "avg_cost_lateral": table_functions.cost_of_articles,
     "sales_detail": lambda t: sales.sales_detail(t, "2001-01-01"),
     "latest_invoices": sales.latest_invoices,
     "invoice_lines": sales.invoice_lines,
