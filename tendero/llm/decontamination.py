@@ -287,6 +287,6 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
         def run(batches, shared=shared):
             yield from _passages(shared.value, threshold, overlap)(batches)
 
-        found = texts.mapInArrow(run, SCHEMA)
+        found = texts.mapInArrow(W.trimmed(run), SCHEMA)
         out = found if passes == 1 else out.union(found)
     return out

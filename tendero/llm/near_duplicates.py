@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sim = Fraction(similarity)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = stored(texts.mapInArrow(
-        _sketches(width, bands, band), "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, sig binary"), "sketches")
+        W.trimmed(_sketches(width, bands, band)), "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, sig binary"), "sketches")
 
     # 1. classes of equal sets, known by their smallest id
     same = ["n_shingles", "key1", "key2"]
@@ -257,8 +257,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         """Pairs (a, b) with similar full sets: every block of the ``b`` of an ``a`` meets its set once."""
         blocks = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("blocks")), "hubs")
         dealt = stored(pairs.join(blocks, "a").select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block")), "members")
-        members = chosen(dealt).mapInArrow(_sets(width), "id long, a long, block long, set binary")
-        hubs = chosen(blocks.withColumnRenamed("a", "doc_id")).mapInArrow(_sets(width), "a long, blocks long, set binary").select(
+        members = chosen(dealt).mapInArrow(W.trimmed(_sets(width)), "id long, a long, block long, set binary")
+        hubs = chosen(blocks.withColumnRenamed("a", "doc_id")).mapInArrow(W.trimmed(_sets(width)), "a long, blocks long, set binary").select(
             "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "set")
         return stored(members.groupBy("a", "block").cogroup(hubs.groupBy("a", "block")).applyInArrow(_confirmed(sim), "a long, b long"), "confirmed")
 
@@ -309,7 +309,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = stored(mixed(), "mixed")
     suspects = stored(near(members, False).select(*key, F.col("a").alias("id")).distinct(), "suspects")
     wanted = suspects.select(F.col("id").alias("doc_id")).distinct()
-    short = stored(chosen(stored(wanted, "wanted")).mapInArrow(_sets(width, short=True), "id long, set binary").dropDuplicates(["id"]), "sets")
+    short = stored(chosen(stored(wanted, "wanted")).mapInArrow(W.trimmed(_sets(width, short=True)), "id long, set binary").dropDuplicates(["id"]), "sets")
     last = blocks(members.join(suspects, [*key, "id"], "left_semi").join(size.select("id", (F.col("n_shingles") * 4).alias("bytes")), "id"),
                   short, "set", _block_links(sim), "a long, b long")
     last = last.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

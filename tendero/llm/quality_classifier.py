@@ -122,7 +122,6 @@ def _trainer(bits: int):
         if examples.rows:
             weights = ftrl(examples, bits).tobytes()
             del examples
-            pa.default_memory_pool().release_unused()  # the process goes on to other tasks
             yield pa.RecordBatch.from_arrays([pa.array([weights], pa.binary())], ["weights"])
     return run
 
@@ -132,7 +131,7 @@ def train(labelled: DataFrame, *, sample: int = 20_000, bits: int = 18) -> np.nd
     chosen = (labelled.where("label is not null and doc_id is not null")
               .select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", F.col("label").cast("double").alias("label"))
               .orderBy("h", "doc_id", "label", F.xxhash64("text")).limit(sample))
-    found = chosen.select("text", "label").mapInArrow(_trainer(bits), "weights binary").collect()
+    found = chosen.select("text", "label").mapInArrow(W.trimmed(_trainer(bits)), "weights binary").collect()
     return np.frombuffer(found[0][0], np.float32) if found else np.zeros((1 << bits) + 1, np.float32)
 
 
@@ -153,7 +152,7 @@ def score(docs: DataFrame, weights: np.ndarray, *, text_col: str = "text", score
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(dot, -35, 35))))],
                                                  [*part.schema.names, score_col])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return docs.mapInArrow(W.trimmed(run), T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def remainder(id_col: str, parts: int):

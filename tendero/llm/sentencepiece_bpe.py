@@ -293,7 +293,7 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, len(edges) - 1), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids))],
                     ["doc_id", "ids"])
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(W.trimmed(run), "doc_id long, ids array<int>")
 
 
 def decode(coded: DataFrame, path: str) -> DataFrame:
@@ -306,7 +306,7 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
             edges = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int64)
             texts = model.decode(np.concatenate(ids) if ids else np.zeros(0, np.int32), edges)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "text"])
-    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return coded.select("doc_id", "ids").mapInArrow(W.trimmed(run), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -323,4 +323,4 @@ def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
                     [batch.column(0).slice(first, len(edges) - 1), pa.array(np.diff(edges)), pa.array(own), pa.array(back), *more],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+        W.trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
