@@ -385,6 +385,50 @@ def test_repeated_passages(docs, nothing):
     assert substring_dedup.repeated_passages(nothing).count() == 0
 
 
+def edited_copies(passages, copies, seed=11):
+    """Texts, each with an original passage of 70 words or a copy with one changed word amid words of its own, in random order; the original's number and a mark."""
+    r, texts = np.random.default_rng(seed), []
+    for p in range(passages):
+        words = prose(1000 + p, 70).split()
+        for k in range(copies + 1):
+            mine = list(words)
+            if k:
+                mine[int(r.integers(5, 65))] = f"edit{k}"
+            own = 5000 + 100 * p + k
+            texts.append((" ".join([prose(own, 40), *mine, prose(own + 50_000, 40)]), p, not k))
+    return [texts[k] for k in r.permutation(len(texts))]
+
+
+def test_all_edited_copies_of_a_passage_are_linked(spark):
+    texts = edited_copies(20, 8)
+    docs = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(texts)], "doc_id long, text string")
+    got = {(r.match_doc_id, r.doc_id) for r in substring_dedup.repeated_passages(docs).collect()}
+    want = {(min(a, b), max(a, b)) for a, (_, p, original) in enumerate(texts) for b, (_, q, _) in enumerate(texts) if original and p == q and a != b}
+    assert len(want) == 160 and len(want & got) >= 0.95 * len(want)
+    assert all(texts[a][1] == texts[b][1] for a, b in got)
+
+
+def test_a_crowded_passage_is_linked_by_classes(spark):
+    # 60 edited copies, and 60 texts that hold the passage as it is; ends of the passage go into other hashes
+    texts = edited_copies(1, 60)
+    passage = next(t for t, _, original in texts if original).split()[40:110]
+    texts += [(" ".join([prose(9000 + k, 30), *passage, prose(9500 + k, 30)]), 0, True) for k in range(60)]
+    docs = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(texts)] + [(500, prose(3, 130)), (501, None)], "doc_id long, text string")
+    rows = substring_dedup.repeated_passages(docs).collect()
+    got = {frozenset((r.match_doc_id, r.doc_id)): r.similarity for r in rows}
+    assert max(max(p) for p in got) < len(texts)
+    # 1 - similarity is a distance: rows that make a way of at most 0.2 link its ends
+    far = np.full((len(texts), len(texts)), 9.0)
+    for pair, s in got.items():
+        a, b = pair
+        far[a, b] = far[b, a] = 1 - s
+    for k in range(len(texts)):
+        far = np.minimum(far, far[:, k, None] + far[None, k])
+    want = [(a, b) for a in range(len(texts)) for b in range(a) if texts[a][2] or texts[b][2]]
+    assert sum(far[a, b] <= 0.2 + 1e-6 for a, b in want) >= 0.98 * len(want)
+    assert len(got) < 0.7 * len(texts) * (len(texts) - 1) / 2
+
+
 def test_language_model(docs, nothing, rows):
     got = lm_scoring.lm_scores(docs).collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
