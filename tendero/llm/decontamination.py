@@ -211,7 +211,7 @@ def _passages(index: Index, threshold: float, overlap: float):
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
-            for first, _, data, offsets in W.slices(batch.column(1)):
+            for first, _, data, offsets in W.slices(batch.column(1), W.SMALL_BYTES):
                 hashes, bounds = bare_words(data, offsets)
                 best: dict[tuple[int, int], tuple] = {}
                 for text, passage, terms in candidates(hashes, bounds):

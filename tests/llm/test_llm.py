@@ -429,6 +429,18 @@ def test_a_crowded_passage_is_linked_by_classes(spark):
     assert len(got) < 0.7 * len(texts) * (len(texts) - 1) / 2
 
 
+def test_benchmark_passages_are_sought_a_megabyte_at_a_time(monkeypatch):
+    monkeypatch.setattr(W, "_powers", {})
+    item = prose(70, 30).split()
+    index = decontamination.build_index([(5, " ".join(item[:20]), " ".join(item[20:]))],
+                                        {int(h): 1 for h in decontamination.hashes_of([" ".join(item)])[0]}, 1, 30.0, 0.6)
+    texts = [prose(71, 100) + " " + " ".join(item) if k == 4900 else "plain words " * 50 for k in range(5000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    found = [row for out in decontamination._passages(index, 0.6, 0.8)([batch]) for row in out.to_pylist()]
+    assert [(r["doc_id"], r["item_id"]) for r in found] == [(4900, 5)]
+    assert max(map(len, W._powers.values())) <= W.SMALL_BYTES + 1
+
+
 def test_language_model(docs, nothing, rows):
     got = lm_scoring.lm_scores(docs).collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
