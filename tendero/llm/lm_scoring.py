@@ -174,9 +174,10 @@ _HIGH = np.maximum(np.ceil(BASE ** np.arange(1, LEVELS + 1) - 1e-9) - 1, _LOW)
 VALUE, LEAST, MOST = (np.concatenate(([0.0], x)) for x in (np.sqrt(_LOW * _HIGH), _LOW, _HIGH))
 
 
-def _places(hashes: np.ndarray, level, probe: int, size):
+def _probes(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """First probe of n-grams at a level and the step to the next ones, both before the remainder by the part's size."""
     h = W.mix(hashes + np.uint64(level * int(_STEP) % (1 << 64)))
-    return (h + np.uint64(probe) * (W.mix(h) | np.uint64(1))) % size
+    return h, W.mix(h) | np.uint64(1)
 
 
 def filled(hashes: np.ndarray, counts: np.ndarray) -> bytes:
@@ -185,9 +186,10 @@ def filled(hashes: np.ndarray, counts: np.ndarray) -> bytes:
     size = max(64, int(level.sum() * BITS)) // 8 * 8 + 8
     part = np.zeros(size, np.uint8)
     for q in range(1, int(level.max(initial=0)) + 1):
-        some = hashes[level >= q]
-        for k in range(PROBES):
-            part[_places(some, q, k, np.uint64(size))] = 1
+        at, step = _probes(hashes[level >= q], q)
+        for _ in range(PROBES):
+            part[at % np.uint64(size)] = 1
+            at += step
     return np.packbits(part, bitorder="little").tobytes()
 
 
@@ -207,11 +209,15 @@ class Filter:
     def level(self, hashes: np.ndarray) -> np.ndarray:
         """Levels of n-grams that all lie in the ranges held here."""
         out, active, part = np.zeros(len(hashes), np.uint8), np.arange(len(hashes)), self.range_of(hashes) - self.first
+        start, size = self.start[part], self.size[part]
         for q in range(1, LEVELS + 1):
-            for k in range(PROBES):
-                at = self.start[part[active]] + _places(hashes[active], q, k, self.size[part[active]])
-                hit = self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1
-                active = active[hit.astype(bool)]
+            at, step = _probes(hashes, q)
+            for _ in range(PROBES):
+                bit = start + at % size
+                hit = (self.data[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                # what misses a probe is asked no more; the other fields follow
+                active, hashes, start, size, at, step = (x[hit] for x in (active, hashes, start, size, at, step))
+                at += step
             out[active] = q
             if not len(active):
                 break
@@ -254,13 +260,14 @@ def _probed(number: int, words, pairs):
     def found(shared, hashes):
         if shared is None:
             return pack(np.zeros(0, np.uint8))
-        model = shared.value
-        of = model.range_of(hashes)
-        return pack(model.level(hashes[slice(*np.searchsorted(of, (model.first, model.end)))]))
+        of = shared.value.range_of(hashes)
+        # only what lies in the group is sorted; words come sorted already
+        some = hashes[(of >= shared.value.first) & (of < shared.value.end)]
+        return pack(shared.value.level(some if shared is words else np.unique(some)))
 
     def run(batches):
         for block in _each(batches):
-            of_pairs = found(pairs, np.unique(block.pairs()) if pairs else None)
+            of_pairs = found(pairs, block.pairs() if pairs else None)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block.id], pa.int64()), pa.array([number], pa.int64()), pa.array([found(words, block.words)], pa.binary()), pa.array([of_pairs], pa.binary())],
                 ["block", "range", "word_levels", "pair_levels"])

@@ -441,6 +441,14 @@ def test_benchmark_passages_are_sought_a_megabyte_at_a_time(monkeypatch):
     assert max(map(len, W._powers.values())) <= W.SMALL_BYTES + 1
 
 
+def test_the_filter_hashes_an_entry_once_a_level(monkeypatch):
+    hashes = np.random.default_rng(8).integers(0, 1 << 63, 5000, dtype=np.uint64)
+    model = lm_scoring.Filter([lm_scoring.filled(hashes, np.ones(5000, np.int64))])
+    mix, asked = W.mix, []
+    monkeypatch.setattr(W, "mix", lambda x: asked.append(len(x)) or mix(x))
+    assert (model.level(hashes) >= 1).all() and sum(asked) <= 2 * (2 * 5000 + 200)
+
+
 def test_language_model(docs, nothing, rows):
     got = lm_scoring.lm_scores(docs).collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
