@@ -162,6 +162,15 @@ def test_cross_sell_is_exact_for_large_baskets(make_tables, least, large):
     assert got == {k: n for k, n in want.items() if n >= least}
 
 
+def test_cross_sell_has_more_partitions_for_more_pairs(make_tables, monkeypatch):
+    rows = [line(doc, a) for doc in range(40) for a in range(doc % 3, 6)]
+    t = make_tables(lineitem=rows)
+    whole = {tuple(r) for r in baskets.cross_sell(t).collect()}
+    monkeypatch.setattr(baskets, "PART_ROWS", 20, raising=False)
+    parted = baskets.cross_sell(t)
+    assert parted.rdd.getNumPartitions() > 20 and {tuple(r) for r in parted.collect()} == whole
+
+
 def test_preview_flags_more(spark):
     df = spark.range(0, 5)
     assert [(r.id, r.has_more) for r in preview(df, 3, ["id"]).collect()] == [(0, True), (1, True), (2, True)]
