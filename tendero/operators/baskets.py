@@ -9,7 +9,7 @@ from tendero.functions.predicates import positive
 from tendero.sources.tables import Tables
 
 c = F.col
-PART_ROWS = 400_000  # lines or pairs of articles that a partition takes, so that a task doesn't grow with the tables
+PART_ROWS = 200_000  # lines or pairs of articles that a partition takes, so that a task doesn't grow with the tables
 
 
 def _pairs(baskets: DataFrame) -> DataFrame:
