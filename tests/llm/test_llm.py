@@ -408,6 +408,45 @@ def test_all_edited_copies_of_a_passage_are_linked(spark):
     assert all(texts[a][1] == texts[b][1] for a, b in got)
 
 
+def test_windows_of_a_common_line_are_told_apart_by_what_surrounds_it(spark, monkeypatch):
+    # 120 texts of their own hold one line of 14 words, too short for a passage: it gives no pairs; a crowded passage among them does
+    line, texts = prose(77, 14), edited_copies(1, 24)
+    common = [" ".join([prose(20_000 + k, 60), line, prose(30_000 + k, 60)]) for k in range(120)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([t for t, _, _ in texts] + common)], "doc_id long, text string")
+    rows, kept = {}, substring_dedup.stored
+
+    def counted(df, label):
+        out = kept(df, label)
+        rows[label] = rows.get(label, 0) + out.count()
+        return out
+    monkeypatch.setattr(substring_dedup, "stored", counted)
+    got = {(r.match_doc_id, r.doc_id) for r in substring_dedup.repeated_passages(docs).collect()}
+    assert got and max(max(p) for p in got) < len(texts)
+    assert rows["few"] + rows["pairs"] < 2 * len(texts) ** 2
+
+
+def test_surroundings():
+    tokens = np.arange(100, dtype=np.uint64)
+    c, lefts, rights = np.array([0, 50, 99]), np.array([0, 50, 99]), np.array([99, 21, 0])
+    x, y = substring_dedup.surroundings(substring_dedup.zones(tokens, 8), 8, c, lefts, rights, 46)
+    assert (x > 0).tolist() == [False, True, True] and (y > 0).tolist() == [True, False, False]
+    # the far end of the half alone decides, wherever it lies
+    moved = np.concatenate([np.arange(900, 930, dtype=np.uint64), tokens])
+    sign = substring_dedup.zones(moved, 8)
+    assert substring_dedup.surroundings(sign, 8, c + 30, lefts, rights, 46)[0].tolist() == x.tolist()
+    assert substring_dedup.surroundings(sign, 8, c + 30, lefts, rights, 46)[1].tolist() == y.tolist()
+
+
+def test_stretches_grow_as_far_as_matches_outweigh_misses():
+    r = np.random.default_rng(5)
+    for price in (4, 9, 24):
+        match = r.random(200) < 0.85
+        first, last = substring_dedup._grown(match, price)
+        gain = np.where(match, 1, -price)
+        for at in np.flatnonzero(match):
+            assert first[at] == at - np.argmax(np.cumsum(gain[at::-1])) and last[at] == at + np.argmax(np.cumsum(gain[at:]))
+
+
 def test_a_crowded_passage_is_linked_by_classes(spark):
     # 60 edited copies, and 60 texts that hold the passage as it is; ends of the passage go into other hashes
     texts = edited_copies(1, 60)
