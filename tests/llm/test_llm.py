@@ -376,6 +376,17 @@ def test_a_window_reaches_over_a_whole_long_text():
     assert len(np.unique(windows["v"])) == len(windows) and (windows["doc"] == 7).all()
 
 
+def test_ranges_of_windows_are_even():
+    # the smallest hash of a window is a small number
+    text = " ".join(f"w{i}" for i in range(40_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([7], pa.int64()), pa.array([text])], ["doc_id", "text"])
+    sizes = Counter()
+    for out in substring_dedup._entries(1, 46, 3)([batch]):
+        for k, x in zip(out["range"].to_pylist(), out["data"].to_pylist()):
+            sizes[k] += len(substring_dedup.unpacked(x, substring_dedup.ENTRY))
+    assert len(sizes) == 8 and max(sizes.values()) < 1.5 * min(sizes.values())
+
+
 def test_repeated_passages(docs, nothing):
     got = {(r.match_doc_id, r.doc_id): r for r in substring_dedup.repeated_passages(docs).collect()}
     assert {(0, 1), (0, 2), (3, 10)} <= set(got) and (0, 3) not in got
