@@ -3,6 +3,7 @@
 import hashlib
 import io
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -12,6 +13,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
+import zstandard
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -448,6 +450,69 @@ def test_surroundings():
     assert substring_dedup.surroundings(sign, 8, c + 30, lefts, rights, 46)[1].tolist() == y.tolist()
 
 
+def test_a_crowded_hash_loses_no_pair_of_edited_passages(spark, monkeypatch):
+    # passages of 54 words with one word changed amid words of their own; every hash counts as crowded, and the
+    # smallest hashes that the two passages share lie about half a passage from the edit or from the other end
+    monkeypatch.setattr(substring_dedup, "CROWD", 1)
+    r, texts = np.random.default_rng(4), []
+    while len(texts) < 60:
+        one = ["".join(x) for x in r.choice(list("abcdefghij"), (54, 5))]
+        two = [*one[:26], "changed", *one[27:]]
+        x, y = (substring_dedup.tokens_of(data, offsets)[0] for c in (one, two) for _, _, data, offsets in W.slices(pa.array([" ".join(c)])))
+        places = []
+        for i in range(6):
+            (low, at), (other, _) = ((h[np.argmin(h)], int(np.argmin(h))) for h in (W.mix(z ^ W.mix(np.uint64([i + 1]))[0]) for z in (x, y)))
+            places += [at] * bool(low == other)
+        if len(places) >= 2 and sum(c in (*range(3, 9), *range(40, 46)) for c in places) >= len(places) - 1:
+            texts += [" ".join([prose(50_000 + len(texts) + k, 40), *w, prose(60_000 + len(texts) + k, 40)]) for k, w in enumerate((one, two))]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {(r.match_doc_id, r.doc_id) for r in substring_dedup.repeated_passages(docs).collect()}
+    assert got == {(k, k + 1) for k in range(0, 60, 2)}
+
+
+def test_areas_hold_whatever_is_compared():
+    r = np.random.default_rng(8)
+    for n in range(60):
+        match = r.random(300) < r.choice([0.6, 0.8, 0.95])
+        more = match | (r.random(300) < 0.2)
+        inside = substring_dedup.areas(more, 46)
+        for price in (4, 9, 24):
+            first, last = substring_dedup._grown(match, price)
+            for at in np.flatnonzero(match & (last - first + 1 >= 46)):
+                assert inside[first[at]:last[at] + 1].all()
+    assert not substring_dedup.areas(np.ones(45, bool), 46).any() and substring_dedup.areas(np.ones(46, bool), 46).all()
+    assert not len(substring_dedup.areas(np.zeros(0, bool), 46))
+
+
+def test_tokens_meet_by_ranges():
+    def block(name, docs):
+        rows = np.array([(t, d) for d, ts in docs for t in ts], substring_dedup.TOKEN)
+        return {"range": 0, "block": name, "data": substring_dedup.packed(substring_dedup._by_token(rows)[0])}
+    many = [(100 + d, [7]) for d in range(17)]
+    out = substring_dedup._met(pa.Table.from_pylist([block(1, [(5, [1, 2, 2, 9]), (4, [3])]), block(2, [(6, [9, 2]), (5, [3]), *many])])).to_pylist()
+    marks = {x["block"]: list(zstandard.ZstdDecompressor().decompress(x["data"])) for x in out if x["block"]}
+    assert marks[1] == [0, 1, 1, 1] and marks[2] == [1, 1, *[2] * 17, 1]  # 2, 3 and 9 are rare, 7 common
+    pairs = [tuple(x) for o in out if o["block"] is None for x in substring_dedup.unpacked(o["data"], substring_dedup.PAIR).tolist()]
+    assert pairs == [(4, 5), (5, 6)]
+
+
+def test_pairs_with_an_unconfirmed_window_are_looked_up():
+    x = np.array([[0, 10, 9, 90, 10, 9, 90], [1, 20, 15, 80, 20, 15, 80], [2, 400, 50, 50, 420, 50, 50]])
+    spot = pa.struct([(n, pa.int64()) for n in substring_dedup._SPOT])
+    found = pa.array([[dict(zip(substring_dedup._SPOT, map(int, v))) for v in y] for y in (x, x[:2])], pa.list_(spot))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([3, 4]), found], ["a", "b", "spots"])
+    assert [o.to_pydict() for o in substring_dedup._unmet(46, 2)([batch])] == [{"a": [1], "b": [3]}]
+
+
+def test_what_is_not_read_again_leaves_the_disk(spark, monkeypatch):
+    frames, kept = [], substring_dedup.stored
+    monkeypatch.setattr(substring_dedup, "stored", lambda df, label: frames.append((label, out := kept(df, label), out.inputFiles())) or out)
+    docs = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(edited_copies(1, 24))], "doc_id long, text string")
+    rows = substring_dedup.repeated_passages(docs)
+    left = {label for label, _, files in frames if any(os.path.exists(f.removeprefix("file:")) for f in files)}
+    assert left <= {"texts", "copies", "pairs"} and "windows" not in {label for label, *_ in frames} and rows.count()
+
+
 def test_stretches_grow_as_far_as_matches_outweigh_misses():
     r = np.random.default_rng(5)
     for price in (4, 9, 24):
